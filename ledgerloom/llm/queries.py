@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import encode, mixture, pieces
+from ledgerloom.llm import abuse, encode, grouping, mixture, pairs, pieces, vectors
 from ledgerloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,51 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks"), "chunk_id", "text")
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.most_similar(table(spark, d, "chunk_vectors"), "vector_id", "vector").where("cos >= 0.9")
+    return near.select(F.least("id", "near").alias("vector_id_a"), F.greatest("id", "near").alias("vector_id_b")).distinct()
+
+
+@query
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.most_similar(table(spark, d, "chunk_vectors"), "vector_id", "vector")
+
+
+@query
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunk_vectors")
+    true = vectors.exact_neighbours(rows.where("vector_id % 50 = 0"), rows, "vector_id", "vector")
+    found = vectors.most_similar(rows, "vector_id", "vector").where("id % 50 = 0").select("id", F.col("cos").alias("c"), "rank")
+    both = true.join(found, ["id", "rank"], "left").groupBy().agg(F.count("*").alias("true_neighbours"), F.count_if(F.col("c") >= F.col("cos") - 1e-5).alias("found"))
+    return both.select("true_neighbours", "found", F.round(F.try_divide("found", "true_neighbours"), 4).alias("recall"))
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.group_records(table(spark, d, "financial_qa_10k"), table(spark, d, "companies"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.same_passage_apart(_groups(spark, d)).toDF("qa_id_a", "qa_id_b")
+
+
+@query
+def p6_split(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "financial_qa_10k").select("qa_id", F.regexp_extract("filing", r"(20\d\d)", 1).alias("label"))
+    return grouping.stratified_split(_groups(spark, d), labels)
+
+
+@query
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.split_shares(p6_split(spark, d))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find_defects(table(spark, d, "financial_qa_10k"), "qa_id", "question", "answer", "context")
+
+
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -43,3 +88,18 @@ def p9_draw(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     return mixture.shares(mixture.draw(table(spark, d, "documents"), targets), targets)
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_texts(table(spark, d, "documents"), "doc_id", "text").where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+@query
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_texts(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+@query
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(abuse.score_texts(table(spark, d, "documents"), "doc_id", "text", "source"), "source")
