@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import abuse, encode, grouping, mixture, pairs, pieces, vectors
+from ledgerloom.llm import abuse, encode, grouping, mixture, overlap, pairs, pieces, vectors
 from ledgerloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.near_pairs(table(spark, d, "train"), table(spark, d, "val"))
+
+
+@query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    train, val = table(spark, d, "train"), table(spark, d, "val")
+    return overlap.overlap_report(overlap.near_pairs(train, val), train, val)
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks"), "chunk_id", "text").where("piece_no = 1").select("chunk_id").distinct()
