@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import abuse, encode, grouping, mixture, overlap, pairs, pieces, vectors
+from ledgerloom.llm import abuse, encode, grouping, leaks, mixture, overlap, pairs, pieces, vectors
 from ledgerloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,21 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.near_pairs(train, val), train, val)
 
 
+@query
+def p2_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "financial_qa_10k"), table(spark, d, "benchmark_questions"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_leaks(spark, d).select("qa_id", "item_id").distinct()
+
+
+@query
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "financial_qa_10k").join(p2_leaks(spark, d).select("qa_id").distinct(), "qa_id", "left_anti")
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks"), "chunk_id", "text").where("piece_no = 1").select("chunk_id").distinct()
