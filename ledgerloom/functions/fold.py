@@ -68,8 +68,13 @@ def fold(text: str | None) -> str:
     return text.lower()
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words and numbers of the folded text; thousands separators inside a number are dropped."""
-    folded = fold(text)
-    folded = _NUMBER.sub(lambda m: re.sub(r"\D", "", m.group()), folded)
+def folded_tokens(folded: str) -> list[str]:
+    """Words and numbers of a folded text; thousands separators inside a number are dropped."""
+    if "," in folded or "\u00a0" in folded or "'" in folded:
+        folded = _NUMBER.sub(lambda m: re.sub(r"\D", "", m.group()), folded)
     return _TOKEN.findall(folded)
+
+
+def tokens(text: str | None) -> list[str]:
+    """Words and numbers of the folded text."""
+    return folded_tokens(fold(text))
