@@ -70,9 +70,7 @@ def fold(text: str | None) -> str:
 
 def folded_tokens(folded: str) -> list[str]:
     """Words and numbers of a folded text; thousands separators inside a number are dropped."""
-    if "," in folded or "\u00a0" in folded or "'" in folded:
-        folded = _NUMBER.sub(lambda m: re.sub(r"\D", "", m.group()), folded)
-    return _TOKEN.findall(folded)
+    return _TOKEN.findall(_NUMBER.sub(lambda m: re.sub(r"\D", "", m.group()), folded))
 
 
 def tokens(text: str | None) -> list[str]:

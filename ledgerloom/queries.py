@@ -293,10 +293,10 @@ def _bm25_hits(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
 _HITS = f"WITH {_CORPUS}, {_QUESTIONS}, {_ALL}, {_BM25}, hits AS (SELECT qid, r.id, round(score, 6) AS score, rank, ticker, fiscal_year, section, text, token_count_est AS token_count FROM ranked r JOIN corpus ON chunk_id = r.id WHERE rank <= 5)"
 
 
-@query(f"""{_HITS}, p AS (SELECT *, sum(token_count) OVER (PARTITION BY qid ORDER BY rank) AS s, count(*) OVER (PARTITION BY qid) AS passages FROM hits)
+@query(f"""{_HITS}, p AS (SELECT * REPLACE (round(score, 4) AS score), sum(token_count) OVER (PARTITION BY qid ORDER BY rank) AS s, count(*) OVER (PARTITION BY qid) AS passages FROM hits)
   SELECT qid, '=== RETRIEVED 10-K CONTEXT (' || any_value(passages) || ' passages) ===' || chr(10) || chr(10) || string_agg('[SOURCE ' || rank || ' | ' || coalesce(ticker, 'null') || ' FY' || coalesce(fiscal_year::VARCHAR, 'null') || ' ' || section || ' | Score: ' || printf('%.4f', score) || ']' || chr(10) || {_strip("text")} || chr(10), chr(10) ORDER BY rank) || repeat('=', 57) AS context, count(*) AS used, any_value(passages) AS passages FROM p WHERE s <= 900 OR rank = 1 GROUP BY qid""")
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.pack_context(_bm25_hits(spark, d), 900)
+    return fusion.pack_context(_bm25_hits(spark, d).withColumn("score", F.round("score", 4)), 900)
 
 
 @query()
