@@ -170,6 +170,12 @@ def _near(a: str, b: str) -> bool:
     most = 2 if min(len(a), len(b)) >= 8 else 1
     if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > most:
         return False
+    # of most + 1 parts of a word, most edits leave one as it is
+    h = len(a) // (most + 1)
+    if most == 1 and a[:h] != b[:h] and a[h:] != b[h - len(a) :]:
+        return False
+    if most == 2 and a[:h] not in b and a[h : 2 * h] not in b and a[2 * h :] not in b:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row, old = [i], row
