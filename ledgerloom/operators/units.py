@@ -326,6 +326,7 @@ def resolve_units(df: DataFrame, identity: Mapping[str, int], candidates: Mappin
     for k, n in enumerate(names):
         units = F.array(*(F.lit(c[k][0]) for c in combos))
         factors = F.array(*(F.lit(float(c[k][1])) for c in combos))
-        out = out.withColumn(f"{n}_unit", F.element_at(units, best["i"] + 1)).withColumn(f"{n}_common", F.col(n).cast("double") * F.element_at(factors, best["i"] + 1))
+        at, found = F.coalesce(best["i"], F.lit(0)) + 1, F.col("__scored").isNotNull()
+        out = out.withColumn(f"{n}_unit", F.when(found, F.element_at(units, at))).withColumn(f"{n}_common", F.when(found, F.col(n).cast("double") * F.element_at(factors, at)))
     close = F.size(F.filter("__scored", lambda x: x["r"] <= best["r"] + tolerance))
     return out.withColumn("log_residual", best["r"]).withColumn("unique", F.when(F.col("__scored").isNotNull(), close == 1)).drop("__scored")
