@@ -121,18 +121,24 @@ def _search(qid: np.ndarray, q: np.ndarray, did: np.ndarray, x: np.ndarray, cent
         low[same] = -9
         cut = np.partition(low, len(did) - k, axis=1)[:, len(did) - k] if len(did) > k else np.full(len(part), -8.0)
         keep = (guess + wide >= cut[:, None]) & ~same
-        r, c = np.nonzero(keep)
-        exact = np.einsum("ij,ij->i", part[r], x[c], dtype=np.float64)
-        order = np.lexsort((did[c], -exact, r))
-        r, c, exact = r[order], c[order], exact[order]
-        first = np.searchsorted(r, np.arange(len(part)))
-        rank = np.arange(len(r)) - first[r]
-        top = rank < k
-        r, c, exact = r[top], c[top], exact[top]
-        ends = np.searchsorted(r, np.arange(len(part) + 1))
-        found = did[c]
-        ids += [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        cos += [exact[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # few survivors are scored one by one; many (short vectors, wide bounds) by one product for the block
+        if keep.mean() < 0.05:
+            r, c = np.nonzero(keep)
+            score = np.full(keep.shape, -9, np.float32)
+            score[r, c] = np.einsum("ij,ij->i", part[r], x[c])
+        else:
+            score = part @ x.T
+            score[~keep] = -9
+        most = min(k + 3, len(did))
+        top = np.argpartition(-score, most - 1, axis=1)[:, :most]
+        valid = np.take_along_axis(score, top, 1) > -8
+        exact = np.einsum("ij,ikj->ik", part, x[top], dtype=np.float64)
+        exact[~valid] = -9
+        order = np.lexsort((did[top], -exact), axis=1)[:, :k]
+        near, value = np.take_along_axis(did[top], order, 1), np.take_along_axis(exact, order, 1)
+        size = np.minimum(valid.sum(1), k)
+        ids += [n[:m] for n, m in zip(near, size, strict=True)]
+        cos += [v[:m] for v, m in zip(value, size, strict=True)]
     return ids, cos
 
 
