@@ -288,7 +288,7 @@ def extract_measures(chunks: DataFrame, measures: DataFrame, units: DataFrame, k
     if not words:
         return chunks.select(F.col(key), F.lit("").alias("measure"), F.lit(0).cast("bigint").alias("amount")).limit(0)
     named = "(?i)" + "|".join("\\s+".join(re.sub(r"([^\w])", r"\\\1", p) for p in w.split()) for w in words)
-    rest = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(named)).distinct()
+    rest = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(named))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grammar = Grammar(*rows)
