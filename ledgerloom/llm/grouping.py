@@ -13,11 +13,14 @@ and are dealt out together in closed form.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.persist import cut, written
 
+BINS = 4096
 SPLITS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 
 
@@ -105,31 +108,39 @@ def same_passage_apart(grouped: DataFrame, key: str = "qa_id") -> DataFrame:
     return a.join(b, "passage").where("a < b and not coalesce(ca = cb, false)").select("a", "b").distinct()
 
 
-def _deal(shapes: list[tuple], labels: list[str], wanted: dict[str, dict[str, float]]) -> list[tuple[int, str, int]]:
-    """Iterative stratification over (shape id, groups of this shape, counts by label): (shape id, split, groups placed there).
+def _fill(needs: dict[str, float], step: float, n: int) -> dict[str, int]:
+    """Of n alike groups that each meet `step` of a need, how many go to each split if each goes to the neediest: by water filling, not one by one."""
+    order = sorted(needs, key=lambda s: (-needs[s], s))
+    for m in range(1, len(order) + 1):
+        level = (sum(needs[s] for s in order[:m]) - n * step) / m
+        if m == len(order) or level >= needs[order[m]]:
+            break
+    give = {s: max(0, math.floor((needs[s] - level) / step + 1e-9)) for s in order[:m]}
+    while (left := n - sum(give.values())) != 0:  # at most as many steps as splits
+        after = {s: needs[s] - give[s] * step for s in give}
+        if left > 0:
+            give[max(after, key=lambda s: (after[s], s))] += 1
+        else:
+            give[min((s for s in give if give[s]), key=lambda s: (after[s], s))] -= 1
+    return give
 
-    All groups of a shape are alike, so they are placed in runs as long as the same split stays the neediest.
-    """
+
+def _deal(shapes: list[tuple], labels: list[str], wanted: dict[str, dict[str, float]]) -> list[tuple[int, str, int]]:
+    """Iterative stratification over (shape id, groups of this shape, counts by label): (shape id, split, groups placed there)."""
     out: list[tuple[int, str, int]] = []
-    left = {i: [n, dict(zip(labels, counts, strict=True))] for i, n, counts in shapes}
+    left = {i: (n, dict(zip(labels, counts, strict=True))) for i, n, counts in shapes}
+    outstanding = {x: sum(n * c[x] for n, c in left.values()) for x in labels}
     while left:
-        outstanding = {x: sum(n * c[x] for n, c in left.values()) for x in labels}
-        rare = min((x for x in labels if outstanding[x] > 0), key=lambda x: (outstanding[x], x), default=None)
-        order = sorted((i for i in left if rare is None or left[i][1][rare] > 0), key=lambda i: (-sum(left[i][1].values()), i))
-        for i in order:
+        rare = min((x for x in labels if outstanding[x] > 0), key=lambda x: (outstanding[x], x))
+        for i in sorted((i for i in left if left[i][1][rare] > 0), key=lambda i: (-sum(left[i][1].values()), i)):
             n, counts = left.pop(i)
-            total = sum(counts.values())
-            while n:
-                def need(s: str) -> tuple:
-                    return (wanted[s][rare] if rare else 0.0, sum(wanted[s].values()))
-                best = max(wanted, key=need)
-                second = max((need(s) for s in wanted if s != best), default=(0.0, 0.0))
-                step = max(counts[rare] if rare else 0, 1e-9)
-                run = max(1, min(n, int((need(best)[0] - second[0]) // step))) if total else n
+            for split, k in _fill({s: w[rare] for s, w in wanted.items()}, counts[rare], n).items():
                 for x in labels:
-                    wanted[best][x] -= run * counts[x]
-                out.append((i, best, run))
-                n -= run
+                    wanted[split][x] -= k * counts[x]
+                if k:
+                    out.append((i, split, k))
+            for x in labels:
+                outstanding[x] -= n * counts[x]
     return out
 
 
@@ -161,8 +172,12 @@ def stratified_split(grouped: DataFrame, labels: DataFrame, key: str = "qa_id",
         plan.append((shape, split, at.get(shape, 0), at.get(shape, 0) + n))
         at[shape] = at.get(shape, 0) + n
     table = spark.createDataFrame(plan, "shape bigint, split string, lo bigint, hi bigint")
-    rank = (F.row_number().over(Window.partitionBy("shape").orderBy(F.xxhash64("component"), "component")) - 1).alias("rank")
-    ranked = sizes.select("component", "shape", rank)
+    # ranks inside a shape: by bins of a hash, so that a shape with very many groups is no single task
+    binned = sizes.select("component", "shape", F.pmod(F.xxhash64("component"), F.lit(BINS)).alias("bin"))
+    bins = binned.groupBy("shape", "bin").agg(F.count("*").alias("c"))
+    starts = bins.select("shape", "bin", (F.sum("c").over(Window.partitionBy("shape").orderBy("bin")) - F.col("c")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("shape", "bin").orderBy(F.xxhash64("component", F.lit(1)), "component")) - 1
+    ranked = binned.join(starts, ["shape", "bin"]).select("component", "shape", (F.col("start") + inside).alias("rank"))
     placed = ranked.join(table, (ranked["shape"] == table["shape"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("component", "split")
     return grouped.select(key, "component").join(placed, "component").select(key, "component", "split")
 
