@@ -54,6 +54,25 @@ def metric_rows(run: str, whole: DataFrame, by_type: DataFrame | None = None, by
     return out.select(F.lit(run).alias("run"), "key", "value")
 
 
+def replayed(results: DataFrame, run: str, metrics_key: str, type_key: str | None = None, company_key: str | None = None) -> DataFrame:
+    """(run, key, value) from the JSON of a result file (column json): the run's metrics, and its breakdowns with hr5, or hr1 where that is missing.
+
+    The file may wrap its metrics in "summary". A file without the metrics raises.
+    """
+    m = F.coalesce(F.get_json_object("json", f"$.summary.{metrics_key}"), F.get_json_object("json", f"$.{metrics_key}"))
+    found = F.from_json(F.when(m.isNull(), F.raise_error(F.lit(f"no {metrics_key} in the results")).cast("string")).otherwise(m), "map<string,double>")
+    names = F.array(*map(F.lit, ("hit_rate_at_1", "hit_rate_at_3", "hit_rate_at_5", "mrr")))
+    out = results.select(F.explode(F.transform(names, lambda n: F.struct(n.alias("key"), F.coalesce(F.try_element_at(found, n), F.lit(0.0)).alias("value")))).alias("x")).select("x.*")
+    for key, kind in ((type_key, "type"), (company_key, "co")):
+        if key:
+            groups = results.select(F.explode(F.from_json(F.get_json_object("json", f"$.{key}"), "map<string,map<string,double>>")).alias("g", "s"))
+            hr5 = F.coalesce(F.try_element_at("s", F.lit("hr5")), F.try_element_at("s", F.lit("hr1")), F.lit(0.0))
+            name = F.concat(F.lit(f"{kind}_"), metric_key(F.col("g"), kind))
+            pair = F.array(F.struct(F.concat(name, F.lit("_hr5")).alias("key"), hr5.alias("value")), F.struct(F.concat(name, F.lit("_mrr")).alias("key"), F.coalesce(F.try_element_at("s", F.lit("mrr")), F.lit(0.0)).alias("value")))
+            out = out.unionByName(groups.select(F.explode(pair).alias("x")).select("x.*"))
+    return out.select(F.lit(run).alias("run"), "key", "value")
+
+
 def deltas(rows: DataFrame, base: str) -> DataFrame:
     """(run, key, value, base_value, delta) against the run `base`; a key that the base lacks counts as 0 there."""
     b = rows.where(F.col("run") == base).select("key", F.col("value").alias("base_value"))

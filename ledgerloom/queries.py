@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import prompts, text
-from ledgerloom.operators import answer, bm25, chunking, dataset, dense, evaluate, fusion, heldout, html, search
+from ledgerloom.operators import answer, bm25, chunking, dataset, dense, embed, evaluate, fusion, heldout, html, search, service
 from ledgerloom.operators.units import extract_measures, resolve_units
 from ledgerloom.plans.persist import shared_folder
 from ledgerloom.sources import filings, sinks
@@ -311,6 +311,17 @@ def rag_prompts(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).join(packed, "qid").select("qid", prompts.prompt(F.col("query"), F.col("context")).alias("prompt"))
 
 
+@query()
+def embedded_search(spark: SparkSession, d: str) -> DataFrame:
+    encoder = embed.ModelEmbedder(embed.hashing())
+    return dense.search(embed.embed(corpus(spark, d), encoder), embed.embed_queries(questions(spark, d), encoder), 5, "chunk_id").select("qid", "id", F.round("score", 5).alias("score"), "rank")
+
+
+@query()
+def service_answers(spark: SparkSession, d: str) -> DataFrame:
+    return service.respond(corpus(spark, d), questions(spark, d))
+
+
 # --- evaluation
 
 _JUDGED = f"""{_HITS}, items AS (SELECT item_id AS qid, source_company, answer_type, CASE source_section WHEN 'Item 1A' THEN ['item_1a'] WHEN 'Item 7' THEN ['item_7'] WHEN 'Item 8' THEN ['item_8'] ELSE ['item_7'] END AS secs FROM benchmark_questions),

@@ -69,6 +69,16 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType = RECORD) ->
     return spark.read.schema(schema).json(path)
 
 
+def record_files(spark: SparkSession, lines: str, array: str, schema: T.StructType = RECORD) -> DataFrame:
+    """Records of the JSON lines if they exist, else of the JSON array, else none."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(lines).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(lines)):
+        return json_lines(spark, lines, schema)
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(array)):
+        return spark.read.schema(schema).json(array, multiLine=True)
+    return spark.createDataFrame([], schema)
+
+
 def benchmark_file(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a document {"questions": [...]}."""
     schema = T.StructType([T.StructField("questions", T.ArrayType(QUESTION))])
