@@ -240,8 +240,10 @@ def defect(question: str | None, answer: str | None, context: str | None = None)
     words, asked = _WORD.findall(folded), _WORD.findall(fold(question))
     if len(asked) >= 3 and len(words) >= 0.7 * len(asked):
         share = copied(asked, words)
-        fresh = [w for w in words if w not in asked]
-        spoilt = sum(any(_near(w, a) for a in asked) for w in fresh)
+        known = set(asked)
+        fresh = [w for w in words if w not in known]
+        # more new words than half never make a copy
+        spoilt = sum(any(_near(w, a) for a in known) for w in fresh) if len(fresh) <= len(words) // 2 and share > 0.3 else 0
         if (share + spoilt / len(words)) >= 0.8 and (copied(words, asked) >= 0.7 or len(fresh) == spoilt) and len(fresh) - spoilt <= max(1, len(words) // 8) and not any(w[0].isdigit() for w in fresh):
             return "copies_question"
     if REFUSALS.search(fold(plain).replace("’", "'")):
