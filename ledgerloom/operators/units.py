@@ -59,6 +59,8 @@ _NUM = r"(?:\d{1,3}(?:[,  ]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
 _WORDNUM = rf"(?:(?:{'|'.join(_TENS)})(?:[- ](?:{'|'.join(_SMALL[1:10])}))?|{'|'.join(sorted(_SMALL, key=len, reverse=True))})"
 _SCALE = r"(?:thousands?|millions?|billions?|trillion|hundred|mln|mn|mm|bn|000s|['’]?000|k|m|b)"
 _MONEY = r"(?:us\$|u\.s\.\$|usd|\$)"
+# Python's \s, spelled for Java.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _spelling(word: str) -> str:
@@ -68,6 +70,11 @@ def _spelling(word: str) -> str:
     return out
 
 
+def _label_key(label: str) -> str:
+    """One spelling for all that re.I takes for the same label (the long s and the dotted capital I, too)."""
+    return re.sub(r"\s+", " ", label.replace("İ", "I").upper().lower())
+
+
 def _unit_pattern(names: Sequence[str]) -> str:
     forms = [(f, n) for n in names for f in SPELLINGS.get(n, [n.lower()])] + [(f, n) for f, (n, _) in SCALED.items() if n in names]
     return "|".join(_spelling(f) for f, _ in sorted(forms, key=lambda x: -len(x[0])))
@@ -86,8 +93,8 @@ class Grammar:
             if name in self.factor:
                 self.by_form[form] = (name, scale)
         labels = [(label.lower(), m["measure"], m["kind"]) for m in measures for label in [m["label"], *(m["also_called"] or [])]]
-        self.labels = {re.sub(r"\s+", " ", label): (m, kind) for label, m, kind in labels}
-        alternatives = "|".join(r"\s+".join(map(re.escape, x.split())) for x in sorted(self.labels, key=len, reverse=True))
+        self.labels = {_label_key(label): (m, kind) for label, m, kind in labels}
+        alternatives = "|".join(r"\s+".join(map(re.escape, x.split())) for x in sorted({label for label, _, _ in labels}, key=len, reverse=True))
         self.label = re.compile(rf"(?<![\w-])({alternatives})(?![\w-])", re.I)
         unit = _unit_pattern(list(self.factor))
         number = rf"(?P<n>{_NUM}|{_WORDNUM})"
@@ -206,7 +213,7 @@ def _table(grammar: Grammar, lines: list[str], heading: str | None, found: set)
         if not m:
             header = header or cells
             continue
-        measure, kind = grammar.labels[re.sub(r"\s+", " ", m[1].lower())]
+        measure, kind = grammar.labels[_label_key(m[1])]
         rest = cells[0].lstrip("*_ ")[m.end() :]
         places = [*re.findall(r"[(\[]([^)\]]*)[)\]]", rest), rest.strip(" ,:-*_"), *cells[1:], *(x for h in header for x in [h, *re.findall(r"\(([^)]*)\)", h)]), heading]
         declared = next((u for p in places if (u := grammar.unit_of(p, kind)) is not None), None)
@@ -224,7 +231,7 @@ def _keyed_table(grammar: Grammar, lines: list[str], heading: str | None, found:
         caption = re.match(r"\W*(?:table|schedule|summary|overview)\b", line, re.I)
         m = grammar.label.search(line) if caption else None
         if m:
-            measure, kind = grammar.labels[re.sub(r"\s+", " ", m[1].lower())]
+            measure, kind = grammar.labels[_label_key(m[1])]
             units = re.findall(r"[(\[]\s*(?:units?\s*(?:of\s+measure)?\s*[:=]\s*|in\s+)?([^)\]]*)[)\]]", line[m.end() :], re.I)
             declared = next((u for p in [*units, heading] if (u := grammar.unit_of(p, kind)) is not None), None)
             inside = (measure, kind, declared)
@@ -242,7 +249,7 @@ def _sentence(grammar: Grammar, sentence: str, heading: str | None, found: set)
     masked = _blank_years(sentence)
     quantities = list(grammar.quantity.finditer(masked))
     for k, label in enumerate(labels):
-        measure, kind = grammar.labels[re.sub(r"\s+", " ", label[1].lower())]
+        measure, kind = grammar.labels[_label_key(label[1])]
         end = labels[k + 1].start() if k + 1 < len(labels) else len(sentence)
         declared = grammar.unit_of(heading, kind)
         after = masked[label.end() : end]
@@ -287,7 +294,8 @@ def extract_measures(chunks: DataFrame, measures: DataFrame, units: DataFrame, k
     schema = chunks.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     if not words:
         return chunks.select(F.col(key), F.lit("").alias("measure"), F.lit(0).cast("bigint").alias("amount")).limit(0)
-    named = "(?i)" + "|".join("\\s+".join(re.sub(r"([^\w])", r"\\\1", p) for p in w.split()) for w in words)
+    # must let through all that `Grammar.label` matches: letters and white space as Python reads them, not as Java's default does
+    named = "(?iu)" + "|".join(f"{_BLANK}+".join(re.sub(r"([^\w])", r"\\\1", p) for p in w.split()) for w in words)
     rest = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(named))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -48,6 +48,18 @@ def test_operator_on_odd_rows(spark):
         extract_measures(df, m, u, max_definitions=2)
 
 
+def test_operator_reads_every_white_space_and_case_in_labels(spark, grammar):
+    m = spark.createDataFrame([(r["measure"], r["label"], r["also_called"], r["kind"]) for r in MEASURES], "measure string, label string, also_called array<string>, kind string")
+    u = spark.createDataFrame(UNITS, "unit_name string, kind string, factor double")
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"Leased{b}floor{b}area totalled 100 square metres." for b in blanks] + ["Leased\xa0floor\xa0area\xa0totalled\xa0115,249\xa0sqft", "Lea\u017fed floor area: 7 square metres."]
+    assert "\xa0" in blanks and "\x1c" in blanks
+    want = {(i, *v) for i, t in enumerate(texts) for v in extract(grammar, t)}
+    assert (len(blanks), "area", 10707) in want and (len(blanks) + 1, "area", 7) in want
+    got = extract_measures(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string"), m, u)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_identity_chooses_units_and_flags_ties(spark):
     df = spark.createDataFrame([(2000.0, 2.0, 1.0), (5.0, 5.0, 1.0), (None, 1.0, 1.0), (0.0, 1.0, 1.0), (float("nan"), 1.0, 1.0)], "mass double, density double, volume double")
     units = {"mass": {"kg": 1.0, "t": 1000.0}, "density": {"kg/m3": 1.0, "t/m3": 1000.0}, "volume": {"m3": 1.0}}
