@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _constants as _c
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -213,11 +215,116 @@ def clauses(text: str | None) -> list[str]:
     return [c for c in _CLAUSE.split(_WRAP.sub(" ", text)) if c and not c.isspace()]
 
 
-# Words besides the listed ones of which every rule needs at least one.
-_KEYS = frozenset(
-    "deserve deserves deserved ought should choke chokes burn rot drop die dies kill hurt stab shoot beat punch smash break hang strangle slap hunt crush skin spit pay suffer bleed regret knock bash bury jump ditch miss favor favour breathe breed world better find live watch hope wish crawl crawled blood kind decent deport expel gas sterilize sterilise exterminate wipe rid round throw kick lock only god clean safe trust lot hiring because typical send keep strip undress escort escorts positions bang ride moan moaned moaning hard wet bends stare staring stares arse ass legs dirty discreet strings nsa masturbate masturbating masturbated bed love cry sick puke vomit shut oxygen brains dim ashamed mother braindead brainless worthless pathetic fuck screw damn piss sod bugger suck eat kiss get go"
-    " halt haltet verpiss verpisst fick fickt leck leckt ferme fermez gueule va allez nique callate vete jodan den cago chinga vai vaffanculo schlag schlage hau haue brech breche bring bringe mach mache trete verreck verrecke verrecken krepier krepiere krepieren soll sollt sollen sollst verrotten sterben brennen crever creve crevent mourir bruler pourrir vais voy ojala muerete ammazzo spacco vou casser peter briser polieren einschlagen partir zahne dents grenzen ohne frauen madchen weiber filles fille femmes femme coquines chicas chica mujeres cachondas guarras veulent veut baiser coucher quieren sexo girls girl women singles cul ragazze mulheres pack vermin breeds clips tape tonight people settlers immigrants believers family families folk they sont sind son race why your you're".split()
-)
+# Words too frequent to tell clauses apart. They only steer the choice below; any choice is right.
+_FREQUENT = frozenset("a an and all are as at be by can do for from get have how i in is it just like may must need needs no not of on only or our over people sales should so such that the their them these they this those to until want wants was we were what where who will with would you your".split())
+_LIMIT = 5000
+
+
+def _one_of(pattern: str) -> frozenset[tuple[str, bool, bool]] | None:
+    """Words of which each match of a pattern holds at least one, read off its parse tree; None if there is no such set.
+
+    A word is (letters, begins at a boundary, ends at one).  Strings with "@group" are left out: see `_may_match`.
+    """
+
+    def chosen(strings: set[str]) -> frozenset | None:
+        out = set()
+        for s in strings:
+            if "@group" in s:
+                continue
+            words = [(m.group(), m.start() > 0, m.end() < len(s)) for m in re.finditer(r"\w+", s)]
+            if not words:
+                return None
+            out.add(min(words, key=lambda w: (w[0] in _FREQUENT, not (w[1] and w[2]), -len(w[0]), w)))
+        return frozenset(out)
+
+    def best(sets: list[frozenset | None]) -> frozenset | None:
+        return min((x for x in sets if x is not None), key=lambda x: (sum(w in _FREQUENT for w, _, _ in x), sum(not (a and b) for _, a, b in x), len(x)), default=None)
+
+    def strings(items) -> set[str] | None:
+        """All that the items can read, boundaries as \0; None if it is too much."""
+        out = {""}
+        for op, arg in items:
+            if op is _c.LITERAL:
+                own = {chr(arg)}
+            elif op is _c.IN and all(o is _c.LITERAL for o, _ in arg):
+                own = {chr(a) for _, a in arg}
+            elif op is _c.AT:
+                own = {"" if arg is _c.AT_NON_BOUNDARY else "\0"}
+            elif op in (_c.ASSERT, _c.ASSERT_NOT):
+                own = {""}
+            elif op is _c.SUBPATTERN:
+                own = strings(arg[-1])
+            elif op is _c.BRANCH:
+                parts = [strings(x) for x in arg[1]]
+                own = None if None in parts else set().union(*parts)
+            elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT) and arg[1] == 1:
+                own = strings(arg[2])
+                own = own if own is None or arg[0] else own | {""}
+            else:
+                own = None
+            if own is None or len(out) * len(own) > _LIMIT:
+                return None
+            out = {a + b for a in out for b in own}
+        return out
+
+    def closed(own: set[str] | None, at: int) -> bool:
+        """Whether all strings begin (0) or end (-1) outside a word."""
+        return bool(own) and all(x and not re.match(r"\w", x[at]) for x in own)
+
+    def needed(items, edge: bool = False) -> frozenset | None:
+        items, sets = list(items), []
+        run = {"\0"} if edge else {""}
+        for k, item in enumerate(items):
+            own = strings([item])
+            if own is not None and len(run) * len(own) <= _LIMIT:
+                run = {a + b for a in run for b in own}
+                continue
+            edge = closed(run, -1)
+            if closed(own if own and "" not in own else strings(items[k : k + 2]), 0):
+                run = {a + "\0" for a in run}
+            sets.append(chosen(run))
+            op, arg = item
+            if own is not None:
+                run = {("\0" if edge else "") + b for b in own}
+                continue
+            if op is _c.SUBPATTERN:
+                sets.append(needed(arg[-1], edge))
+            elif op is _c.BRANCH:
+                parts = [needed(x, edge) for x in arg[1]]
+                sets.append(None if None in parts else frozenset().union(*parts))
+            elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
+                own = arg[2]
+                while len(own) == 1 and own[0][0] is _c.SUBPATTERN:
+                    own = own[0][1][-1]
+                ends = closed(strings(own[-1:]), -1)  # as in "(?:\w+ )*"
+                if arg[0]:
+                    sets.append(needed(own, edge and ends))
+                edge = ends and (edge or arg[0] > 0)
+                run = {"\0"} if edge else {""}
+                continue
+            run = {""}
+        return best([*sets, chosen(run)])
+
+    return needed(_parser.parse(pattern))
+
+
+_NEEDED = [_one_of(pattern.pattern) for _, _, pattern in RULES]
+_ANY = frozenset().union(*(x for x in _NEEDED if x))
+_WHOLE = frozenset(w for w, a, b in _ANY if a and b)
+_PART = re.compile("|".join(["(?!)", *sorted(rf"{chr(92) + 'b' if a else ''}{re.escape(w)}{chr(92) + 'b' if b else ''}" for w, a, b in _ANY if not (a and b))]))
+_WORD = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=1 << 17)
+def _telling(word: str) -> bool:
+    return word in _WHOLE or bool(_PART.search(word))
+
+
+def _may_match(plain: str) -> bool:
+    """False only if no rule can match: the clause has none of the words that the rules need."""
+    return None in _NEEDED or "@group" in plain or any(map(_telling, _WORD.findall(plain)))
+
+
 _WRAP = re.compile(r"(?<![.!?:])[ \t]*\r?\n[ \t]*(?=[a-zà-þ(])")
 
 
@@ -227,7 +334,7 @@ def clause_weight(clause: str) -> tuple[float, str | None]:
     marked = _CAPITAL_GROUP.sub(" @group ", marked)
     plain = undisguise(marked.replace("@group", "qqgroupqq")).replace("qqgroupqq", "@group")
     weight, kind = 0.0, None
-    if "@group" not in plain and _LEXICON.isdisjoint(words := plain.split()) and _KEYS.isdisjoint(words):
+    if not _may_match(plain):
         return weight, kind
     for k, w, pattern in RULES:
         if w > weight and pattern.search(plain):
