@@ -109,9 +109,14 @@ def text_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the three years that the SQL of the queries over them is limited to."""
     return dataset.normalize_records(table(spark, d, "financial_qa_10k"), years=[2022, 2023, 2024], keep=["qa_id"])
 
 
+def all_records(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.normalize_records(table(spark, d, "financial_qa_10k"), keep=["qa_id"])
+
+
 # --- text
 
 @query("SELECT chunk_id, ingested_at, greatest(1, length(text) // 4)::INT AS tokens FROM chunks WHERE text IS NOT NULL")
@@ -389,7 +394,7 @@ def leak_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leak_filter(spark: SparkSession, d: str) -> DataFrame:
-    return heldout.without_leaks(records(spark, d), leak_flags(spark, d))
+    return heldout.without_leaks(all_records(spark, d), leak_flags(spark, d))
 
 
 @query(f"WITH {_RECORDS} SELECT qa_id, question, answer, context, ticker, fiscal_year, '10-K' AS section, 'primary' AS source FROM records")
@@ -418,14 +423,14 @@ def split_train_val(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    flags = leak_flags(spark, d).join(records(spark, d).select("qa_id"), "qa_id", "left_semi")
-    parted = dataset.split(heldout.without_leaks(records(spark, d), flags), 0.1, 42, "qa_id")
-    return dataset.manifest("primary", table(spark, d, "financial_qa_10k"), records(spark, d), flags, parted, {"seed": "42", "val_fraction": "0.1"}, "2025-01-01T00:00:00Z")
+    flags = leak_flags(spark, d).join(all_records(spark, d).select("qa_id"), "qa_id", "left_semi")
+    parted = dataset.split(heldout.without_leaks(all_records(spark, d), flags), 0.1, 42, "qa_id")
+    return dataset.manifest("primary", table(spark, d, "financial_qa_10k"), all_records(spark, d), flags, parted, {"seed": "42", "val_fraction": "0.1"}, "2025-01-01T00:00:00Z")
 
 
 @query()
 def synthetic_qa(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.synthesize(corpus(spark, d), years=[2022, 2023, 2024])
+    return dataset.synthesize(corpus(spark, d))
 
 
 @query(f"SELECT count(*) AS rows, count(*) FILTER ({_strip('coalesce(text, chr(32))')} = '') AS blank_rows, min(CASE WHEN {_strip('coalesce(text, chr(32))')} = '' THEN id END) AS first_blank, coalesce(max(length(text)), 0)::INT AS longest, count(*) FILTER ({_strip('coalesce(text, chr(32))')} = '') || ' blank texts, the first at ' || min(CASE WHEN {_strip('coalesce(text, chr(32))')} = '' THEN id END) AS error FROM train")

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ledgerloom import queries
 from ledgerloom.operators import dataset, heldout
 
 REC = "qa_id int, question string, answer string, context string, ticker string, filing string"
@@ -53,3 +54,16 @@ def test_validate_and_manifest(spark):
     m = dataset.manifest("s", df, df, empty, empty, {"seed": "1"}, "now").first()
     assert m["counts"]["raw"] == 3 and m["counts"]["kept"] == 0 and m["config"] == {"seed": "1"}
     assert dataset.chosen(df, df.limit(1)).count() == 3 and dataset.chosen(df.where(F.lit(False)), df.limit(1)).count() == 1
+
+
+def test_registered_queries_take_every_year(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(k, f"question {k}", f"answer {k}", "c", "AB", f) for k, f in enumerate(["2019_10K", "2021_10K", "2024_10K", None])], REC).write.parquet(f"{d}/financial_qa_10k.parquet")
+    spark.createDataFrame([("other words", "gold")], "question string, gold_answer string").write.parquet(f"{d}/benchmark_questions.parquet")
+    rows = [(f"c{y}", f"Total sales was ${k + 1} million.", "AB", y, "item 7", k) for k, y in enumerate([2019, 2021, 2024, None])]
+    spark.createDataFrame(rows, "chunk_id string, text string, ticker string, fiscal_year int, section string, chunk_index int").selectExpr("*", "timestamp'2024-01-01' AS ingested_at", "timestamp'2024-01-01' AS parsed_at").write.parquet(f"{d}/chunks.parquet")
+    assert {r["qa_id"] for r in queries.leak_filter(spark, d).collect()} == {0, 1, 2, 3}
+    counts = queries.manifest(spark, d).first()["counts"]
+    assert (counts["raw"], counts["after_filter"], counts["kept"]) == (4, 4, 4)
+    assert {r["fiscal_year"] for r in queries.synthetic_qa(spark, d).collect()} == {2019, 2021, 2024, None}
+    assert {r["fiscal_year"] for r in dataset.synthesize(queries.corpus(spark, d), years=[2021]).collect()} == {2021}
