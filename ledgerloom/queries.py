@@ -147,7 +147,7 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_sections(corpus(spark, d).where("fiscal_year is not null and ticker is not null"), 800, 120)
+    return chunking.chunk_sections(corpus(spark, d), 800, 120)
 
 
 @query()
