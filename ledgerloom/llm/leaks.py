@@ -1,20 +1,23 @@
 """Evaluation texts that leak into training records.
 
-Method: suffix arrays of the training text.  Each shard of records gets a suffix array over its words; the
-suffixes of every test text are looked up in it by binary search and extended to maximal verbatim matches,
-with their places.  Verbatim matches that hold enough distinctive words mark a record and an item as
-candidates; an alignment of the item's question or sentences with the words around then decides, so that light edits
-do not hide a leak and the same wording about other names does not make one.
-
-Scale: one narrow pass over the records, whatever their size; the test items go to the executors in blocks of at most
-`block` items, so their number is free.  How frequent a text is in training plays no part in finding it.
+Method: suffix arrays of the training text.  Each shard of records gets a suffix array over its words; every
+suffix of every test text is looked up in it by binary search and extended to its longest verbatim matches, with
+their places.  Verbatim matches that hold enough distinctive words mark a record and an item as candidates; an
+alignment of the item's question or sentences with the words around these places then decides, so that light
+edits do not hide a leak and the same wording about other names does not make one.
+
+Which words are distinctive is settled once, by counts over all test items, so it does not depend on blocks.
+
+Scale: one scan of the records whatever the number of items.  The items reach the tasks in blocks of at most
+`block` items, and a worker holds one block at a time.  Occurrences of a frequent run of words are extended in
+slices of bounded size.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from ledgerloom.llm.pairs import _near
 ANCHOR = 3
 #: Words of a shard: suffix arrays of this size take a few MB.
 SHARD = 150_000
+#: Occurrences of test suffixes that are extended at once.
+SLICE = 1_000_000
 _NOISE = frozenset("us usd dollars dollar percent per cent pct".split())
 _SCALE = {"thousand": 3, "million": 6, "mn": 6, "billion": 9, "bn": 9, "trillion": 12}
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
@@ -45,94 +50,114 @@ def words(text: str | None) -> list[str]:
     return out
 
 
-def suffix_array(codes: np.ndarray, depth: int = 32) -> np.ndarray:
-    """Positions sorted by their suffixes' first `depth` codes, by prefix doubling."""
+def suffix_array(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions sorted by their suffixes, by prefix doubling; with `depth` the order counts that many codes at least."""
     n = len(codes)
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(rank, kind="stable")
     h = 1
-    while h < depth and n > 1:
-        second = np.full(n, -1, np.int64)
-        second[: n - h] = rank[h:]
-        key = rank * (n + 1) + second + 1
+    while n > 1 and rank[order[-1]] < n - 1 and (depth is None or h < depth):
+        second = np.zeros(n, np.int64)
+        second[: n - h] = rank[h:] + 1
+        key = rank * (n + 1) + second
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = new
-        if rank[order[-1]] == n - 1:
-            break
+        in_order = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(in_order[1:] != in_order[:-1])))
         h *= 2
     return order
 
 
+def common_share(n: int, share: float = 0.05) -> int:
+    """In how many of n items a word may stand to be distinctive."""
+    return max(1, int(share * n))
+
+
 class Items:
-    """Test items prepared for lookup: their texts as words, and which words are distinctive."""
+    """A block of test items prepared for lookup: their texts as words, the words' codes, and which words are distinctive."""
 
-    def __init__(self, rows: Sequence[tuple[int, str | None, str | None]], common_share: float = 0.05) -> None:
+    def __init__(self, rows: Sequence[tuple[int, str | None, str | None]], common: frozenset[str]) -> None:
         self.ids = [r[0] for r in rows]
         self.questions = [words(q) for _, q, _ in rows]
         self.sentences = [[w for s in _SENTENCE.split(p or "") if (w := words(s))] for _, _, p in rows]
         self.passages = [[w for s in ss for w in s] for ss in self.sentences]
-        df = Counter(w for q, p in zip(self.questions, self.passages, strict=True) for w in {*q, *p})
-        most = max(2, int(common_share * len(rows)))
-        self.distinct = [{w for w in {*q, *p} if df[w] <= most or (w[0].isdigit() and len(w) > 4)} for q, p in zip(self.questions, self.passages, strict=True)]
-
-
-def anchors(docs: list[list[str]], items: Items) -> dict[tuple[int, int], set[int]]:
-    """(document, item) -> test positions of distinctive words inside verbatim matches of at least ANCHOR words."""
-    vocab: dict[str, int] = {}
-    flat, owner = [], []
-    for d, ws in enumerate(docs):
-        flat += [vocab.setdefault(w, len(vocab) + 2) for w in ws]
-        flat.append(0)
-        owner += [d] * (len(ws) + 1)
-    tests, test_owner, start = [], [], []
-    for k in range(len(items.ids)):
-        for ws in (items.questions[k], items.passages[k]):
-            start += range(len(ws) + 1)
-            tests += [vocab.get(w, 1) for w in ws]
-            tests.append(1)
-            test_owner += [k] * (len(ws) + 1)
-    found: dict[tuple[int, int], set[int]] = {}
-    if len(flat) < ANCHOR or len(tests) < ANCHOR:
+        self.distinct = [{w for w in {*q, *p} if w not in common or (w[0].isdigit() and len(w) > 4)} for q, p in zip(self.questions, self.passages, strict=True)]
+        self.code: dict[str, int] = {}
+        codes, owner, special = [], [], []
+        for k in range(len(rows)):
+            for ws in (self.questions[k], self.passages[k]):
+                codes += [self.code.setdefault(w, len(self.code) + 2) for w in ws] + [1]
+                owner += [k] * (len(ws) + 1)
+                special += [w in self.distinct[k] for w in ws] + [False]
+        self.test, self.owner, self.special = np.array(codes, np.int64), np.array(owner, np.int64), np.array(special, bool)
+        self.longest = max((len(ws) for ws in (*self.questions, *self.passages)), default=0)
+
+
+def _heads(text: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each position's first ANCHOR codes, in the order of the codes; ranks of ever longer heads, so that nothing overflows."""
+    both = np.concatenate((text, np.zeros(ANCHOR, np.int64), test, np.zeros(ANCHOR, np.int64)))
+    rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+    head, base = rank, int(rank.max(initial=0)) + 1
+    for j in range(1, ANCHOR):
+        head = np.unique(head * base + np.concatenate((rank[j:], np.zeros(j, np.int64))), return_inverse=True)[1].astype(np.int64)
+    return head[: len(text)], head[len(text) + ANCHOR : len(text) + ANCHOR + len(test)]
+
+
+class Match:
+    """What verbatim matches show of an item in a text: distinctive test positions, their places in the text, and the longest match with its place."""
+
+    __slots__ = ("positions", "places", "length", "at")
+
+    def __init__(self) -> None:
+        self.positions: set[int] = set()
+        self.places: set[int] = set()
+        self.length, self.at = 0, 0
+
+
+def anchors(docs: list[list[str]], items: Items) -> dict[tuple[int, int], Match]:
+    """(document, item) -> verbatim matches of at least ANCHOR words that hold a distinctive word."""
+    found: dict[tuple[int, int], Match] = {}
+    code = items.code
+    sizes = np.array([len(ws) + 1 for ws in docs], np.int64)
+    # words of no test are one code (1 ends a test, so it is never matched), 0 ends a document
+    text = np.fromiter((c for ws in docs for c in (*(code.get(w, 1) for w in ws), 0)), np.int64, int(sizes.sum()))
+    test = items.test
+    if len(text) < ANCHOR or len(test) < ANCHOR:
         return found
-    text, own = np.array(flat, np.int64), np.array(owner, np.int64)
-    test, towner = np.array(tests, np.int64), np.array(test_owner, np.int64)
-    array = suffix_array(text)
-    base = len(vocab) + 2
-
-    def head(x: np.ndarray) -> np.ndarray:
-        pad = np.concatenate((x, np.zeros(ANCHOR, np.int64)))
-        return (pad[: len(x)] * base + pad[1 : len(x) + 1]) * base + pad[2 : len(x) + 2]
-
-    keys = head(text)[array]  # rises along the suffix array
-    wanted = head(test)
-    inside = np.array([all(c > 1 for c in tests[i : i + ANCHOR]) and i + ANCHOR <= len(tests) for i in range(len(tests))])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    own = np.repeat(np.arange(len(docs)), sizes)
+    array = suffix_array(text, items.longest)
+    heads, wanted = _heads(text, test)
+    keys = heads[array]  # rises along the suffix array
+    inside = np.convolve(test > 1, np.ones(ANCHOR, int))[ANCHOR - 1 :][: len(test)] == ANCHOR
+    inside[max(0, len(test) - ANCHOR + 1) :] = False
     at = np.nonzero(inside)[0]
     lo, hi = np.searchsorted(keys, wanted[at], "left"), np.searchsorted(keys, wanted[at], "right")
-    size = hi - lo
-    if not size.sum():
-        return found
-    t = np.repeat(at, size)
-    p = array[np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    # only maximal matches: those that the words before do not extend
-    first = (t == 0) | (p == 0)
-    longer = ~first & (test[np.maximum(t - 1, 0)] == text[np.maximum(p - 1, 0)]) & (test[np.maximum(t - 1, 0)] > 1)
-    t, p = t[~longer], p[~longer]
-    length = np.full(len(t), ANCHOR)
-    alive = np.arange(len(t))
+    at, lo, size = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    ahead = np.concatenate(([0], np.cumsum(items.special)))
     test_end, text_end = np.append(test, 1), np.append(text, 0)
-    while len(alive):
-        i, j = np.minimum(t[alive] + length[alive], len(test)), np.minimum(p[alive] + length[alive], len(text))
-        alive = alive[(test_end[i] == text_end[j]) & (test_end[i] > 1)]
-        length[alive] += 1
-    names = [w for k in range(len(items.ids)) for ws in (items.questions[k], items.passages[k]) for w in [*ws, ""]]
-    special = np.array([names[i] in items.distinct[test_owner[i]] for i in range(len(names))])
-    ahead = np.concatenate(([0], np.cumsum(special)))
-    hit = ahead[t + length] > ahead[t]
-    for i, j, n in zip(t[hit], p[hit], length[hit], strict=True):
-        found.setdefault((int(own[j]), int(towner[i])), set()).update(int(x) for x in range(i, i + n) if special[x])
+    whole = np.concatenate(([0], np.cumsum(size)))
+    for begin in range(0, int(whole[-1]), SLICE):
+        n = np.arange(begin, min(begin + SLICE, int(whole[-1])))
+        which = np.searchsorted(whole, n, "right") - 1
+        t, p = at[which], array[lo[which] + n - whole[which]]
+        # matches that the words before would extend are parts of others
+        part = (t > 0) & (p > 0) & (test[t - 1] == text[p - 1]) & (test[t - 1] > 1)
+        t, p = t[~part], p[~part]
+        length, alive = np.full(len(t), ANCHOR), np.arange(len(t))
+        while len(alive):
+            i, j = np.minimum(t[alive] + length[alive], len(test)), np.minimum(p[alive] + length[alive], len(text))
+            alive = alive[(test_end[i] == text_end[j]) & (test_end[i] > 1)]
+            length[alive] += 1
+        hit = ahead[t + length] > ahead[t]
+        for i, j, m in zip(t[hit].tolist(), p[hit].tolist(), length[hit].tolist(), strict=True):
+            d = int(own[j])
+            match = found.setdefault((d, int(items.owner[i])), Match())
+            marked = np.nonzero(items.special[i : i + m])[0].tolist()
+            match.positions.update(i + x for x in marked)
+            match.places.update(j - int(starts[d]) + x for x in marked)
+            if m > match.length:
+                match.length, match.at = m, j - int(starts[d])
     return found
 
 
@@ -179,8 +204,22 @@ def _agrees(ws: list[str], flags: list[bool], special: set[str], least: float, l
     return len(own) >= 2 and sum(own) >= least_special * len(own)
 
 
-def leaked(question: list[str], context: list[str], items: Items, k: int, run: int = 20) -> str | None:
-    """How item k stands in a record: "question", "question in context", "sentence", "run", or None."""
+def _windows(context: list[str], places: Iterable[int], reach: int) -> list[list[str]]:
+    """The stretches of a context within `reach` words of some place; the whole context if there is no place."""
+    out: list[list[int]] = []
+    for p in sorted(places):
+        if out and p - reach <= out[-1][1]:
+            out[-1][1] = p + reach + 1
+        else:
+            out.append([max(0, p - reach), p + reach + 1])
+    return [context[a:b] for a, b in out] or [context]
+
+
+def leaked(question: list[str], context: list[str], items: Items, k: int, places: Iterable[int] = (), run: int = 20) -> str | None:
+    """How item k stands in a record: "question", "question in context", "sentence", "run", or None.
+
+    `places` are positions of verbatim matches in the context: the question, the sentences and the runs are looked for around them, each by itself.
+    """
     special = items.distinct[k]
     asked = items.questions[k]
     near, far = set(question), set(context)
@@ -189,22 +228,26 @@ def leaked(question: list[str], context: list[str], items: Items, k: int, run: i
     # light edits leave at least four of ten distinctive words of a question, sentence or run as they are
     if max([share(of_asked, near), share(of_asked, far), *(share(s, far) for s in of_passage)]) < 0.4 and share([w for s in of_passage for w in s], far) < 0.2:
         return None
-    if asked:
-        if _agrees(asked, align(asked, question), special, 0.7, 0.75) and len(question) <= 1.6 * len(asked) + 4:
+    if asked and share(of_asked, near) >= 0.4:
+        flags = align(asked, question)
+        if _agrees(asked, flags, special, 0.7, 0.75) and len(question) <= 1.6 * len(asked) + 4:
             return "question"
-        if _agrees(asked, align(asked, question), special, 0.8, 0.75) or _agrees(asked, align(asked, context), special, 0.8, 0.75) and _close(asked, context):
+        if _agrees(asked, flags, special, 0.8, 0.75):
             return "question in context"
+    if not context:
+        return None
     passage = items.passages[k]
-    if passage and context:
-        flags = align(passage, context)
-        at = 0
-        for s in items.sentences[k]:
-            part = flags[at : at + len(s)]
-            if len(s) >= 5 and _agrees(s, part, special, 0.75, 0.75) and _close(s, context):
+    around = _windows(context, places, max(len(asked), len(passage)) + len(passage) // 2)
+    for part in around:
+        held = set(part)
+        if asked and share(of_asked, held) >= 0.4 and _agrees(asked, align(asked, part), special, 0.8, 0.75) and _close(asked, part):
+            return "question in context"
+        for s, own in zip(items.sentences[k], of_passage, strict=True):
+            if len(s) >= 5 and share(own, held) >= 0.4 and _agrees(s, align(s, part), special, 0.75, 0.75) and _close(s, part):
                 return "sentence"
-            at += len(s)
+        flags = align(passage, part)
         for i in range(len(passage) - run + 1):
-            if sum(flags[i : i + run]) >= 0.85 * run and _agrees(passage[i : i + run], flags[i : i + run], special, 0.85, 0.8) and _close(passage[i : i + run], context):
+            if sum(flags[i : i + run]) >= 0.85 * run and _agrees(passage[i : i + run], flags[i : i + run], special, 0.85, 0.8) and _close(passage[i : i + run], part):
                 return "run"
     return None
 
@@ -225,50 +268,69 @@ def _close(ws: list[str], context: list[str]) -> bool:
     return best >= 0.6 * len(ws)
 
 
+def _common_words(rows: DataFrame) -> frozenset[str]:
+    """Words of more than a twentieth of all test items: at most 20 x the words of an item, whatever the number of items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"ws": [sorted({*words(q), *words(p)}) for q, p in zip(b["q"], b["p"], strict=True)]}, dtype=object)
+
+    most = common_share(rows.count())
+    counted = rows.select("q", "p").mapInPandas(run, "ws array<string>").select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return frozenset(r["w"] for r in counted.where(F.col("n") > most).select("w").collect())
+
+
 def find_leaks(records: DataFrame, tests: DataFrame, key: str = "qa_id", question: str = "question", context: str = "context", item: str = "item_id", item_question: str = "question", item_passage: str = "passage", block: int = 2000, evidence: int = 2) -> DataFrame:
-    """Distinct (key, item bigint, how string, verbatim int): each item that stands in each record, and its distinctive words in verbatim matches.
+    """Distinct (key, item bigint, how string, verbatim int, longest int, place int, in_question boolean): each item that stands in each record.
 
-    Null, empty and blank texts on either side match nothing; the other text of the same row still counts. Texts of any length are
-    searched whole. Empty tables give no row; other columns play no part; repeated records each get their rows.
+    verbatim: its distinctive words in verbatim matches; longest, place: words of the longest verbatim match and the word of the question
+    or the context at which it begins.  Null, empty and blank texts on either side match nothing; the other text of the same row still
+    counts. Texts of any length are searched whole. Empty tables give no row; other columns play no part; repeated records each get their
+    rows. The result is the same for every `block`.
     """
     rows = tests.select(F.col(item).cast("bigint").alias("i"), F.col(item_question).alias("q"), F.col(item_passage).alias("p")).where("i is not null")
     held = records.select(F.col(key).alias("key"), F.col(question).alias("q"), F.col(context).alias("c"))
-    schema = f"key {held.schema['key'].dataType.simpleString()}, item bigint, how string, verbatim int"
-    parts = []
-    count = rows.count()
-    for b in range(max(1, -(-count // block))):
-        here = rows if count <= block else rows.where(F.pmod(F.xxhash64("i"), F.lit(-(-count // block))) == b)
-        shared = records.sparkSession.sparkContext.broadcast([tuple(r) for r in here.orderBy("i").collect()])
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items = Items(shared.value)
-            keys: list = []
-            asked: list[list[str]] = []
-            told: list[list[str]] = []
-            size = 0
-
-            def search() -> pd.DataFrame:
-                hits = anchors([w for pair in zip(asked, told, strict=True) for w in pair], items)
-                merged: dict[tuple[int, int], set[int]] = {}
-                for (d, k), places in hits.items():
-                    merged.setdefault((d // 2, k), set()).update(places)
-                out = [(keys[d], items.ids[k], how, len(places)) for (d, k), places in merged.items() if len(places) >= evidence and (how := leaked(asked[d], told[d], items, k))]
-                return pd.DataFrame(out, columns=["key", "item", "how", "verbatim"])
-
-            for batch in batches:
-                for x, q, c in batch.itertuples(index=False):
-                    keys.append(x)
-                    asked.append(words(q))
-                    told.append(words(c))
-                    size += len(asked[-1]) + len(told[-1])
-                    if size >= SHARD:
-                        yield search()
-                        keys, asked, told, size = [], [], [], 0
-            if keys:
-                yield search()
-
-        parts.append(held.mapInPandas(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    columns = {"key": held.schema["key"].dataType.simpleString(), "item": "bigint", "how": "string", "verbatim": "int", "longest": "int", "place": "int", "in_question": "boolean"}
+    common = _common_words(rows)
+    blocks = max(1, -(-rows.count() // block))
+    spark = records.sparkSession
+    shared = []
+    for b in range(blocks):
+        here = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+        shared.append(spark.sparkContext.broadcast([tuple(r) for r in here.orderBy("i", "q", "p").collect()]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = Items(shared[0].value, common) if blocks == 1 else None
+
+        def search(keys: list, docs: list[list[str]]) -> pd.DataFrame:
+            out = []
+            for b in shared:
+                items = only or Items(b.value, common)
+                pairs: dict[tuple[int, int], list[Match | None]] = {}
+                for (d, k), m in anchors(docs, items).items():
+                    pairs.setdefault((d // 2, k), [None, None])[d % 2] = m
+                for (d, k), (asked, told) in pairs.items():
+                    verbatim = len({x for m in (asked, told) if m for x in m.positions})
+                    if verbatim >= evidence and (how := leaked(docs[2 * d], docs[2 * d + 1], items, k, told.places if told else ())):
+                        best = max((m for m in (asked, told) if m), key=lambda m: m.length)
+                        out.append((keys[d], items.ids[k], how, verbatim, best.length, best.at, best is asked))
+                if blocks > 1:
+                    b.__dict__.pop("_value", None)  # a worker holds one block at a time
+            return pd.DataFrame(out, columns=list(columns)).astype({"key": object, "how": object})
+
+        keys: list = []
+        docs: list[list[str]] = []
+        size = 0
+        for batch in batches:
+            for x, q, c in batch.itertuples(index=False):
+                keys.append(x)
+                docs += [words(q), words(c)]
+                size += len(docs[-2]) + len(docs[-1])
+                if size >= SHARD:
+                    yield search(keys, docs)
+                    keys, docs, size = [], [], 0
+        if keys:
+            yield search(keys, docs)
+
+    out = held.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in columns.items()))
     return out.distinct().withColumnRenamed("key", key).withColumnRenamed("item", item)
