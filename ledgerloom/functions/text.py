@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 QUERY_STOPWORDS = ("what", "were", "much", "does", "from", "total", "year", "fiscal")
 # Patterns of the text contract.
 CITATION = r"\[SOURCE\s+\d+\]"
-FINANCE_TOKEN = r"\b[A-Za-z0-9_$%.-]+\b"
+#: Word boundaries are spelled out by Unicode letters and numbers, as engines differ in what their own boundary sees.
+_WORD = r"[\p{L}\p{N}_]"
+FINANCE_TOKEN = rf"(?:(?<!{_WORD})(?=[A-Za-z0-9_])|(?<={_WORD})(?=[$%.-]))[A-Za-z0-9_$%.-]+(?:(?<=[A-Za-z0-9_])(?!{_WORD})|(?<=[$%.-])(?={_WORD}))"
 SENTENCE_END = r"(?<=[.!?])\s+"
 LINE_OR_SENTENCE_END = r"(?<=[.!?\n])\s+"
 NUMERIC_FACT = r"([A-Z][A-Za-z0-9 ,\-']{4,70}?)\s+(?:was|were|totaled|totalled|reached|increased|decreased|grew|of|by)\s+(\$?\d[\d,\.]*\s*(?:billion|million|trillion|%)?)"
@@ -25,11 +27,6 @@ def blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 
 
-def ascii_only(c: Column) -> Column:
-    """Characters outside ASCII as spaces, so that engines with other word boundaries agree."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
-
-
 def estimate_tokens(c: Column) -> Column:
     """A quarter of the characters, at least 1."""
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))

@@ -14,7 +14,8 @@ def extract_answers(queries: DataFrame, hits: DataFrame, years: tuple[int, ...]
 
     Passages of another year than the first of `years` that the question names are skipped. A sentence of more than 20 characters scores
     twice the number of question words (repeated ones count) it contains, plus the passage's score (0.5 if that is null or 0); the earliest of the best
-    wins. Without any, a positive top passage gives its first line (or first 200 characters) if longer than 30; else the refusal.
+    wins. Without any, a top passage with a positive score gives its first line, or if it has but one its first 200 characters, white space
+    squeezed, with a full stop, if that is longer than 30 characters; else the refusal.
     """
     q = F.lower("query")
     year = F.coalesce(*(F.when(F.contains(q, F.lit(str(y))), y) for y in years)).cast("int")
@@ -31,9 +32,11 @@ def extract_answers(queries: DataFrame, hits: DataFrame, years: tuple[int, ...]
     clean = F.regexp_replace(strip(F.regexp_replace("s", r"(?U)\s+", " ")), "[,;]+$", "")
     full = F.when(F.endswith(clean, F.lit(".")), clean).otherwise(F.concat(clean, F.lit(".")))
     chosen = best.select("qid", F.concat(full, F.lit(" [SOURCE "), F.col("rank").cast("string"), F.lit("]")).alias("a"))
-    line = F.regexp_extract(strip(F.col("text")), r"^([^\n]*)", 1)
-    head = strip(F.when(F.length(line) > 30, line).otherwise(F.substring("text", 1, 200)))
-    top = rows.where("rank = 1 and score > 0").select("qid", F.when(F.length(head) > 30, F.concat(head, F.lit(" [SOURCE 1]"))).alias("b"))
+    body = strip(F.col("text"))
+    head = F.when(F.contains(body, F.lit("\n")), F.substring_index(body, "\n", 1)).otherwise(F.substring(body, 1, 200))
+    head = strip(F.regexp_replace(head, r"(?U)\s+", " "))
+    stopped = F.when(F.endswith(head, F.lit(".")), head).otherwise(F.concat(head, F.lit(".")))
+    top = rows.where("rank = 1 and score > 0").select("qid", F.when(F.length(head) > 30, F.concat(stopped, F.lit(" [SOURCE 1]"))).alias("b"))
     return asked.join(chosen, "qid", "left").join(top, "qid", "left").select("qid", F.coalesce("a", "b", F.lit(REFUSAL)).alias("answer"))
 
 

@@ -14,10 +14,11 @@ from ledgerloom.functions.text import source_header, strip, token_set
 def reciprocal_rank(dense: DataFrame, sparse: DataFrame, k: int = 5, constant: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0) -> DataFrame:
     """(qid, id, rrf_score, dense_rank, sparse_rank, rank) of two lists (qid, id, rank): the sum of weight / (constant + rank).
 
-    Ties: order of the dense list first, then of the sparse one. A rank is null where a list has no such id.
+    Ties: order of the dense list first, then of the sparse one. A rank is null where a list has no such id. A list's score, if it has
+    one, is carried along as dense_score or bm25_score.
     """
-    d = dense.select("qid", "id", F.col("rank").alias("dense_rank"))
-    s = sparse.select("qid", "id", F.col("rank").alias("sparse_rank"))
+    d = dense.select("qid", "id", F.col("rank").alias("dense_rank"), *([F.col("score").alias("dense_score")] if "score" in dense.columns else []))
+    s = sparse.select("qid", "id", F.col("rank").alias("sparse_rank"), *([F.col("score").alias("bm25_score")] if "score" in sparse.columns else []))
     both = d.join(s, ["qid", "id"], "full_outer")
     part = F.coalesce(dense_weight / (constant + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(sparse_weight / (constant + F.col("sparse_rank")), F.lit(0.0))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("rrf_score", 12)), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), "id")

@@ -24,6 +24,10 @@ class Embedder(Protocol):
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
+#: Fixed value: ticker and section of a hit that no chunk stands behind.
+UNKNOWN = "UNKNOWN"
+
+
 def query_text(c: Column, model: str) -> Column:
     """The stripped query, with the prefix for models of the family that wants one."""
     return F.concat(F.lit(QUERY_PREFIX), strip(c)) if "bge" in model else strip(c)
@@ -77,11 +81,13 @@ def retrieve(
         index = index or bm25.build(corpus, "chunk_id", "text")
         s = bm25.search(index, asked, pool, allowed.select(F.col("chunk_id").alias("id")) if ticker or fiscal_year or section else None)
     if mode == "hybrid":
-        merged = fusion.reciprocal_rank(d, s, wanted)
-        hits = merged.join(d.select("qid", "id", F.col("score").alias("dense_score")), ["qid", "id"], "left").join(s.select("qid", "id", F.col("score").alias("bm25_score")), ["qid", "id"], "left").withColumn("score", F.col("rrf_score"))
+        hits = fusion.reciprocal_rank(d, s, wanted).withColumn("score", F.col("rrf_score"))
     else:
         hits = d if d is not None else s
-    rows = hits.join(allowed.select(F.col("chunk_id").alias("id"), "ticker", "fiscal_year", "section", "text", F.col("token_count_est").alias("token_count")), "id")
+    about = corpus.select(F.col("chunk_id").alias("id"), "ticker", "fiscal_year", "section", "text", F.col("token_count_est").alias("token_count"), F.lit(True).alias("__known"))
+    rows = hits.join(about, "id", "left")
+    # a vector without a chunk keeps its place, named as unknown
+    rows = rows.select(*hits.columns, *(F.when(F.col("__known"), F.col(c)).otherwise(UNKNOWN).alias(c) for c in ("ticker", "section")), "fiscal_year", F.when(F.col("__known"), F.col("text")).otherwise("").alias("text"), "token_count")
     if reranked:
         rows = fusion.rerank(rows.join(asked.select("qid", "query"), "qid"), k, score).withColumn("score", F.col("rerank_score")).drop("query")
     label = "bm25+rerank" if mode == "bm25" and reranked else "bm25" if mode == "bm25" else mode_label(mode == "hybrid", reranked)

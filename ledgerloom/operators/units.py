@@ -314,7 +314,7 @@ def resolve_units(df: DataFrame, identity: Mapping[str, int], candidates: Mappin
     mass = density x volume is {"mass": 1, "density": -1, "volume": -1}.  `candidates` gives each column's units
     with the factor to its common unit.  Adds <column>_unit and <column>_common for each column, log_residual, and
     unique: false if another combination with other common values has a residual within `tolerance` of the best.
-    A row with a value that is null, not finite or not positive gets nulls; an empty table stays empty.
+    Residuals are compared to nine digits, ties go to the first combination.  A row with a value that is null, not finite or not positive gets nulls; an empty table stays empty.
     All is JVM-side: one literal array of combinations, no shuffle, so rows of one hot key do no harm.
     """
     names = list(identity)
@@ -328,7 +328,7 @@ def resolve_units(df: DataFrame, identity: Mapping[str, int], candidates: Mappin
         v = F.col(n).cast("double")
         usable = usable & F.coalesce((v > 0) & (v < float("inf")) & ~F.isnan(v), F.lit(False))
         base = base + identity[n] * F.log(F.when(v > 0, v))
-    scored = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(len(combos) - 1)), lambda i: F.struct(F.abs(base + F.element_at(F.array(*map(F.lit, shift)), i + 1)).alias("r"), i.alias("i"))))
+    scored = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(len(combos) - 1)), lambda i: F.struct(F.round(F.abs(base + F.element_at(F.array(*map(F.lit, shift)), i + 1)), 9).alias("r"), i.alias("i"))))
     out = df.withColumn("__scored", F.when(usable, scored))
     best = F.col("__scored")[0]
     for k, n in enumerate(names):

@@ -45,13 +45,20 @@ def _norm(x: str) -> str:
     return f"array_to_string(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), ' ')"
 
 
+#: Letters and numbers outside ASCII.
+_WIDE = r"(?:[^\x00-\x7F\PL]|[^\x00-\x7F\PN])"
+
+
 def _tokens(x: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(lower(regexp_replace({x}, '[^\\x00-\\x7F]', ' ', 'g')), '\\b[A-Za-z0-9_$%.-]+\\b'), lambda t: regexp_replace(t, '^[.-]+|[.-]+$', '', 'g')), lambda t: t <> '')"
+    """Tokens between word boundaries of Unicode: words with letters outside ASCII become a mark that bounds like a word, and tokens are cut at the mark."""
+    marked = f"regexp_replace(lower({x}), '\\w*{_WIDE}(?:\\w|{_WIDE})*', 'qqzq', 'g')"
+    found = f"flatten(list_transform(regexp_extract_all({marked}, '\\b[A-Za-z0-9_$%.-]+\\b'), lambda t: string_split(t, 'qqzq')))"
+    return f"list_filter(list_transform({found}, lambda t: regexp_replace(t, '^[.-]+|[.-]+$', '', 'g')), lambda t: t <> '')"
 
 
 _SECTION = "CASE WHEN contains(lower(section), '1a') OR contains(lower(section), 'risk') THEN 'item_1a' WHEN contains(lower(section), '7') THEN 'item_7' WHEN contains(lower(section), '8') THEN 'item_8' WHEN contains(lower(section), '1') THEN 'item_1' ELSE 'unknown' END"
 _CORPUS = f"""corpus AS (
-  SELECT chunk_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text, upper({_strip("ticker")}) AS ticker, fiscal_year, {_SECTION} AS section, greatest(1, length(text) // 4) AS token_count_est
+  SELECT chunk_id, text, upper({_strip("ticker")}) AS ticker, fiscal_year, {_SECTION} AS section, greatest(1, length(text) // 4) AS token_count_est
   FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, parsed_at DESC NULLS LAST, chunk_index DESC NULLS LAST) AS n FROM chunks)
   WHERE n = 1 AND text IS NOT NULL)"""
 _BM25 = f"""
@@ -74,17 +81,17 @@ _VECTORS = f"""vs AS (SELECT vector_id AS id, v, sqrt(list_inner_product(v, v))
   dense AS (SELECT q.id AS qid, x.id, list_inner_product(x.v, q.v) / (x.n * q.n) AS score FROM vs x, vs q WHERE q.id % 50 = 0),
   dranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM dense)"""
 _QA = f"SELECT qa_id, {_strip('question')} AS question, {_strip('answer')} AS answer, {_strip('context')} AS context, upper({_strip('ticker')}) AS ticker, TRY_CAST(nullif(regexp_extract(filing, '((?:19|20)\\d{{2}})', 1), '') AS INT) AS fiscal_year FROM financial_qa_10k"
-_RECORDS = f"records AS (SELECT * FROM ({_QA}) WHERE coalesce(question, '') <> '' AND coalesce(answer, '') <> '' AND coalesce(context, '') <> '' AND fiscal_year IN (2022, 2023, 2024))"
+_RECORDS = f"records AS (SELECT * FROM ({_QA}) WHERE coalesce(question, '') <> '' AND coalesce(answer, '') <> '' AND coalesce(context, '') <> '')"
 
 
 # --- inputs
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The last delivery of every chunk, with ticker and section in one spelling, characters outside ASCII blanked."""
+    """The last delivery of every chunk, with ticker and section in one spelling."""
     s = F.lower("section")
     item = F.when(F.contains(s, F.lit("1a")) | F.contains(s, F.lit("risk")), "item_1a").when(F.contains(s, F.lit("7")), "item_7").when(F.contains(s, F.lit("8")), "item_8").when(F.contains(s, F.lit("1")), "item_1").otherwise("unknown")
     rows = sinks.latest(table(spark, d, "chunks"), "chunk_id", ["ingested_at", "parsed_at", "chunk_index"]).where("text is not null")
-    return rows.select("chunk_id", text.ascii_only(F.col("text")).alias("text"), F.upper(text.strip(F.col("ticker"))).alias("ticker"), "fiscal_year", item.alias("section"), text.estimate_tokens(F.col("text")).alias("token_count_est"))
+    return rows.select("chunk_id", "text", F.upper(text.strip(F.col("ticker"))).alias("ticker"), "fiscal_year", item.alias("section"), text.estimate_tokens(F.col("text")).alias("token_count_est"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -103,17 +110,12 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Queries with text and vector: vectors whose id is divisible by 50, with the start of their chunk as the text."""
+    """Queries with text and vector: vectors whose id is divisible by 50, with the text of their chunk."""
     v = usable_vectors(spark, d).where("vector_id % 50 = 0").select(F.col("vector_id").alias("qid"), "chunk_id", "vector")
-    return v.join(corpus(spark, d).select("chunk_id", F.substring("text", 1, 80).alias("query")), "chunk_id").select("qid", "query", "vector")
+    return v.join(corpus(spark, d).select("chunk_id", F.col("text").alias("query")), "chunk_id").select("qid", "query", "vector")
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Records of the three years that the SQL of the queries over them is limited to."""
-    return dataset.normalize_records(table(spark, d, "financial_qa_10k"), years=[2022, 2023, 2024], keep=["qa_id"])
-
-
-def all_records(spark: SparkSession, d: str) -> DataFrame:
     return dataset.normalize_records(table(spark, d, "financial_qa_10k"), keep=["qa_id"])
 
 
@@ -155,7 +157,9 @@ def chunk_strategies(spark: SparkSession, d: str) -> DataFrame:
     return chunking.compare_strategies(corpus(spark, d), {"a": (1500, 200), "b": (800, 120)})
 
 
-@query()
+@query(f"""WITH {_CORPUS}, w AS (SELECT ticker, fiscal_year, string_agg(text, chr(10) ORDER BY chunk_id) FILTER (text <> '') AS text FROM corpus GROUP BY ALL),
+  c AS (SELECT ticker, fiscal_year, i, {_strip("substring(text, i * 2048 + 1, 2048)")} AS text FROM (SELECT *, unnest(range(0, ((length(text) + 2047) // 2048)::BIGINT)) AS i FROM w WHERE length(text) > 0))
+  SELECT text, ticker, fiscal_year, CASE WHEN contains(lower(text), 'item 8') THEN 'item_8' WHEN contains(lower(text), 'item 7') THEN 'item_7' WHEN contains(lower(text), 'item 1a') THEN 'item_1a' WHEN contains(lower(text), 'item 1') THEN 'item_1' ELSE 'unknown' END AS section, (row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY i) - 1)::INT AS chunk_index FROM c WHERE text <> ''""")
 def naive_corpus(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d).groupBy("ticker", "fiscal_year").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", "text")))).alias("sections"))
     return chunking.naive_corpus(rows)
@@ -168,7 +172,7 @@ def normalized_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string({_tokens('text')}, '|') AS tokens FROM documents WHERE text IS NOT NULL")
 def finance_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(text.finance_tokens(text.ascii_only(F.col("text"))), "|").alias("tokens"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(text.finance_tokens(F.col("text")), "|").alias("tokens"))
 
 
 def _has(*words: str) -> str:
@@ -269,7 +273,7 @@ def vector_check(spark: SparkSession, d: str) -> DataFrame:
 
 _TEXT_QUERIES = f"""tv AS (SELECT vector_id, chunk_id, v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT vector_id, chunk_id, vector::DOUBLE[] AS v FROM chunk_vectors) WHERE {_USABLE} AND chunk_id IS NOT NULL),
   cv AS (SELECT chunk_id AS id, arg_min(v, vector_id) AS v, arg_min(n, vector_id) AS n FROM tv GROUP BY ALL),
-  qv AS (SELECT vector_id AS qid, substring(text, 1, 80) AS query, v, n FROM tv JOIN corpus USING (chunk_id) WHERE vector_id % 50 = 0), qs AS (SELECT qid, query FROM qv WHERE {_strip("query")} <> ''),
+  qv AS (SELECT vector_id AS qid, text AS query, v, n FROM tv JOIN corpus USING (chunk_id) WHERE vector_id % 50 = 0), qs AS (SELECT qid, query FROM qv WHERE {_strip("query")} <> ''),
   dd AS (SELECT qid, cv.id, list_inner_product(cv.v, qv.v) / (cv.n * qv.n) AS score FROM cv, qv WHERE qid IN (SELECT qid FROM qs)),
   dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM dd)"""
 _HYBRID = """fused AS (SELECT qid, id, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0) AS rrf, d.rank AS dense_rank, s.rank AS sparse_rank FROM (SELECT * FROM dr WHERE rank <= 25) d FULL JOIN (SELECT * FROM ranked WHERE rank <= 25) s USING (qid, id)),
@@ -304,15 +308,36 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return fusion.pack_context(_bm25_hits(spark, d).withColumn("score", F.round("score", 4)), 900)
 
 
-@query()
+@query(f"""{_HITS}, q AS (SELECT qid, query, CASE WHEN contains(query, '2024') THEN 2024 WHEN contains(query, '2023') THEN 2023 WHEN contains(query, '2022') THEN 2022 END AS year, list_filter(regexp_extract_all(lower(query), '\\b\\w{{3,}}\\b'), lambda w: w NOT IN {text.QUERY_STOPWORDS}) AS words FROM qs),
+  r AS (SELECT q.*, rank, fiscal_year, score, text FROM q JOIN hits USING (qid)),
+  c AS (SELECT * EXCLUDE (s), {_strip("s")} AS s FROM (SELECT *, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM (SELECT *, string_split(regexp_replace(text, '([.!?\n])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM r WHERE year IS NULL OR fiscal_year = year))),
+  m AS (SELECT *, len(list_filter(words, lambda w: contains(lower(s), w))) AS m FROM c WHERE length(s) > 20),
+  b AS (SELECT qid, rank, {_strip(f"regexp_replace(s, '{_WS}+', ' ', 'g')")} AS s FROM m WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(m * 2.0 + CASE WHEN score <> 0 THEN score ELSE 0.5 END, 9) DESC, rank, pos) = 1),
+  t AS (SELECT qid, {_strip(f"regexp_replace(CASE WHEN contains(b, chr(10)) THEN string_split(b, chr(10))[1] ELSE left(b, 200) END, '{_WS}+', ' ', 'g')")} AS h FROM (SELECT qid, {_strip("text")} AS b FROM r WHERE rank = 1 AND score > 0)),
+  a AS (SELECT q.qid, coalesce((SELECT regexp_replace(s, '[,;]+$', '') || CASE WHEN regexp_replace(s, '[,;]+$', '') LIKE '%.' THEN '' ELSE '.' END || ' [SOURCE ' || rank || ']' FROM b WHERE b.qid = q.qid), (SELECT CASE WHEN length(h) > 30 THEN h || CASE WHEN h LIKE '%.' THEN '' ELSE '.' END || ' [SOURCE 1]' END FROM t WHERE t.qid = q.qid), '{prompts.REFUSAL}') AS answer FROM q)
+  SELECT qid, answer, array_to_string(regexp_extract_all(answer, '\\[SOURCE\\s+\\d+\\]'), ',') AS citations, regexp_matches(answer, '\\[SOURCE\\s+\\d+\\]') AS has_citation, answer = '{prompts.REFUSAL}' AS is_refusal, (SELECT count(*) FROM hits WHERE hits.qid = a.qid)::INT AS passages FROM a""")
 def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
     hits = _bm25_hits(spark, d)
-    return answer.answer_records(answer.extract_answers(questions(spark, d), hits), hits)
+    rows = answer.answer_records(answer.extract_answers(questions(spark, d), hits), hits)
+    return rows.select("qid", "answer", F.array_join("citations", ",").alias("citations"), "has_citation", "is_refusal", F.size("sources").alias("passages"))
 
 
-@query()
+@query("""WITH long AS (SELECT i AS qid, 'What ' || i AS query FROM range(4) t(i)) SELECT qid, CASE qid WHEN 0 THEN 'A line of the passage that is longer than thirty. [SOURCE 1]' WHEN 1 THEN rtrim(repeat('ab cd ', 40)[:200]) || '. [SOURCE 1]' ELSE '""" + prompts.REFUSAL + """' END AS answer FROM long""")
+def answer_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Passages without a word of the question: first line, first 200 characters, too short, and a score of 0."""
+    texts = [("A line of  the passage that is longer than thirty\nand more", 1.0), ("ab cd " * 40, 0.5), ("short", 1.0), ("x" * 100, 0.0)]
+    hits = spark.createDataFrame([(q, 1, None, s, t) for q, (t, s) in enumerate(texts)], "qid bigint, rank int, fiscal_year int, score double, text string")
+    return answer.extract_answers(spark.range(4).select(F.col("id").alias("qid"), F.concat(F.lit("What "), F.col("id").cast("string")).alias("query")), hits)
+
+
+_HEADER = f"'<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || '{prompts.SYSTEM.replace(chr(39), chr(39) * 2)}' || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10)"
+
+
+@query(f"""{_HITS}, p AS (SELECT * REPLACE (round(score, 4) AS score), sum(token_count) OVER (PARTITION BY qid ORDER BY rank) AS s, count(*) OVER (PARTITION BY qid) AS passages FROM hits),
+  c AS (SELECT qid, '=== RETRIEVED 10-K CONTEXT (' || any_value(passages) || ' passages) ===' || chr(10) || chr(10) || string_agg('[SOURCE ' || rank || ' | ' || coalesce(ticker, 'null') || ' FY' || coalesce(fiscal_year::VARCHAR, 'null') || ' ' || section || ' | Score: ' || printf('%.4f', score) || ']' || chr(10) || {_strip("text")} || chr(10), chr(10) ORDER BY rank) || repeat('=', 57) AS context FROM p WHERE s <= 2000 OR rank = 1 GROUP BY qid)
+  SELECT qid, {_HEADER} || coalesce(context, '{prompts.EMPTY_CONTEXT}') || chr(10) || chr(10) || 'Question: ' || {_strip("query")} || chr(10) || 'Answer:' || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) AS prompt FROM qs LEFT JOIN c USING (qid)""")
 def rag_prompts(spark: SparkSession, d: str) -> DataFrame:
-    packed = fusion.contexts(questions(spark, d), _bm25_hits(spark, d))
+    packed = fusion.contexts(questions(spark, d), _bm25_hits(spark, d).withColumn("score", F.round("score", 4)))
     return questions(spark, d).join(packed, "qid").select("qid", prompts.prompt(F.col("query"), F.col("context")).alias("prompt"))
 
 
@@ -366,7 +391,16 @@ def ir_progress(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.progress(_judged(spark, d))
 
 
-@query()
+def _run(name: str, hits: str) -> str:
+    judged = f"(SELECT i.qid, min(CASE WHEN h.ticker = source_company AND list_contains(secs, h.section) THEN rank END) AS match_rank FROM items i LEFT JOIN {hits} h USING (qid) GROUP BY i.qid)"
+    return " UNION ALL ".join(f"SELECT '{name}' AS run, '{k}' AS key, {e} AS value FROM {judged}" for k, e in (("hit_rate_at_1", _hr(1)), ("hit_rate_at_3", _hr(3)), ("hit_rate_at_5", _hr(5)), ("mrr", _MRR)))
+
+
+@query(f"""{_JUDGED}, nh AS (SELECT * REPLACE (CASE WHEN contains(lower(text), 'item 8') THEN 'item_8' WHEN contains(lower(text), 'item 7') THEN 'item_7' WHEN contains(lower(text), 'item 1a') THEN 'item_1a' WHEN contains(lower(text), 'item 1') THEN 'item_1' ELSE 'unknown' END AS section) FROM hits),
+  wide AS (SELECT qid, rank AS old, ticker, section, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM ranked r JOIN corpus ON chunk_id = r.id JOIN qs USING (qid) WHERE rank <= 25),
+  rh AS (SELECT qid, ticker, section, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0.0), 9) DESC, old) AS rank FROM wide QUALIFY rank <= 5),
+  runs AS ({_run("bm25", "hits")} UNION ALL {_run("naive", "nh")} UNION ALL {_run("bm25_rerank", "rh")})
+  SELECT r.*, b.value AS base_value, round(r.value - b.value, 6) AS delta FROM runs r JOIN runs b ON b.run = 'naive' AND b.key = r.key""")
 def pipeline_delta(spark: SparkSession, d: str) -> DataFrame:
     benchmark = evaluate.convert_benchmark(table(spark, d, "benchmark_questions"))
     flat = corpus(spark, d).withColumn("section", text.guess_section(F.col("text")))
@@ -383,18 +417,23 @@ def ir_report(spark: SparkSession, d: str) -> DataFrame:
 
 # --- held-out texts and training records
 
-@query(f"""WITH e AS (SELECT qa_id, {_norm("question")} AS nq, {_norm("answer")} AS na, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+')) AS ts FROM financial_qa_10k),
+_LEAKS = f"""e AS (SELECT qa_id, {_norm("question")} AS nq, {_norm("answer")} AS na, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+')) AS ts FROM financial_qa_10k),
   b AS (SELECT {_norm("question")} AS nq, {_norm("gold_answer")} AS na, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS ts FROM benchmark_questions),
   near AS (SELECT DISTINCT qa_id FROM e, b WHERE len(e.ts) > 0 AND len(b.ts) > 0 AND len(list_intersect(e.ts, b.ts)) / (len(e.ts) + len(b.ts) - len(list_intersect(e.ts, b.ts))) >= 0.8 - 1e-12),
-  f AS (SELECT qa_id, nq, nq <> '' AND nq IN (SELECT nq FROM b) AS exact, qa_id IN (SELECT qa_id FROM near) AS near, length(na) >= 20 AND na IN (SELECT na FROM b WHERE length(na) >= 20) AS by_answer FROM e)
-  SELECT qa_id, exact, near, by_answer, nq <> '' AND (exact OR near OR by_answer) AS leak FROM f""")
+  f AS (SELECT qa_id, nq, nq <> '' AND nq IN (SELECT nq FROM b) AS exact, qa_id IN (SELECT qa_id FROM near) AS near, length(na) >= 20 AND na IN (SELECT na FROM b WHERE length(na) >= 20) AS by_answer FROM e)"""
+
+
+@query(f"WITH {_LEAKS} SELECT qa_id, exact, near, by_answer, nq <> '' AND (exact OR near OR by_answer) AS leak FROM f")
 def leak_flags(spark: SparkSession, d: str) -> DataFrame:
     return heldout.leak_flags(table(spark, d, "financial_qa_10k"), table(spark, d, "benchmark_questions"))
 
 
-@query()
+_KEPT = "kept AS (SELECT * FROM records WHERE qa_id NOT IN (SELECT qa_id FROM f WHERE nq <> '' AND (exact OR near OR by_answer)))"
+
+
+@query(f"WITH {_LEAKS}, {_RECORDS}, {_KEPT} SELECT qa_id, question, answer, context, ticker, fiscal_year, '10-K' AS section, 'primary' AS source FROM kept")
 def leak_filter(spark: SparkSession, d: str) -> DataFrame:
-    return heldout.without_leaks(all_records(spark, d), leak_flags(spark, d))
+    return heldout.without_leaks(records(spark, d), leak_flags(spark, d))
 
 
 @query(f"WITH {_RECORDS} SELECT qa_id, question, answer, context, ticker, fiscal_year, '10-K' AS section, 'primary' AS source FROM records")
@@ -407,13 +446,13 @@ def training_targets(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("qa_id", prompts.training_target(F.col("answer")).alias("target"), F.array_join(text.citations(F.col("answer")), ",").alias("tags"))
 
 
-_CHAT = "'=== RETRIEVED 10-K CONTEXT (1 passage) ===' || chr(10) || chr(10) || '[SOURCE 1 | ' || ticker || ' FY' || fiscal_year || ' 10-K | Score: 1.0000]' || chr(10) || context || chr(10) || repeat('=', 57) || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:'"
+_CHAT = "'=== RETRIEVED 10-K CONTEXT (1 passage) ===' || chr(10) || chr(10) || '[SOURCE 1 | ' || coalesce(ticker, 'null') || ' FY' || coalesce(fiscal_year::VARCHAR, 'null') || ' 10-K | Score: 1.0000]' || chr(10) || context || chr(10) || repeat('=', 57) || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:'"
 
 
 @query(f"""WITH {_RECORDS} SELECT qa_id, 'ft_' || CASE WHEN n < 1000000 THEN lpad(n::VARCHAR, 6, '0') ELSE n::VARCHAR END AS id, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || '{prompts.SYSTEM.replace("'", "''")}' || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || {_CHAT} || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || CASE WHEN regexp_matches(answer, '\\[SOURCE\\s+\\d+\\]') THEN answer ELSE answer || ' [SOURCE 1]' END || '<|eot_id|>' AS text
-  FROM (SELECT *, row_number() OVER (ORDER BY qa_id) - 1 AS n FROM records WHERE ticker IS NOT NULL)""")
+  FROM (SELECT *, row_number() OVER (ORDER BY qa_id) - 1 AS n FROM records)""")
 def training_examples(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.build_examples(records(spark, d).where("ticker is not null"), ["qa_id"]).select("qa_id", "id", "text")
+    return dataset.build_examples(records(spark, d), ["qa_id"]).select("qa_id", "id", "text")
 
 
 @query(f"""WITH {_RECORDS}, o AS (SELECT qa_id, row_number() OVER (ORDER BY md5('42:' || qa_id), qa_id) AS n, count(*) OVER () AS a FROM records) SELECT qa_id, CASE WHEN n <= greatest(1, round_even(a * 0.2, 0)) THEN 'val' ELSE 'train' END AS split FROM o""")
@@ -421,14 +460,22 @@ def split_train_val(spark: SparkSession, d: str) -> DataFrame:
     return dataset.split(records(spark, d), 0.2, 42, "qa_id").select("qa_id", "split")
 
 
-@query()
+@query(f"""WITH {_LEAKS}, {_RECORDS}, {_KEPT}, n AS (SELECT (SELECT count(*) FROM financial_qa_10k) AS raw, (SELECT count(*) FROM records) AS after_filter, (SELECT count(*) FROM kept) AS kept)
+  SELECT '2025-01-01T00:00:00Z' AS generated_at, 'primary' AS source, raw, after_filter, after_filter - kept AS leaks_removed, kept, kept - greatest(1, round_even(kept * 0.1, 0))::BIGINT AS train, greatest(1, round_even(kept * 0.1, 0))::BIGINT AS val, '42' AS seed, '0.1' AS val_fraction FROM n""")
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    flags = leak_flags(spark, d).join(all_records(spark, d).select("qa_id"), "qa_id", "left_semi")
-    parted = dataset.split(heldout.without_leaks(all_records(spark, d), flags), 0.1, 42, "qa_id")
-    return dataset.manifest("primary", table(spark, d, "financial_qa_10k"), all_records(spark, d), flags, parted, {"seed": "42", "val_fraction": "0.1"}, "2025-01-01T00:00:00Z")
+    rows = records(spark, d)
+    flags = leak_flags(spark, d).join(rows.select("qa_id"), "qa_id", "left_semi")
+    parted = dataset.split(heldout.without_leaks(rows, flags), 0.1, 42, "qa_id")
+    out = dataset.manifest("primary", table(spark, d, "financial_qa_10k"), rows, flags, parted, {"seed": "42", "val_fraction": "0.1"}, "2025-01-01T00:00:00Z")
+    return out.select("generated_at", "source", "counts.*", F.col("config")["seed"].alias("seed"), F.col("config")["val_fraction"].alias("val_fraction"))
 
 
-@query()
+_FACT = text.NUMERIC_FACT.replace("'", "''")
+
+
+@query(f"""WITH {_CORPUS}, c AS (SELECT * EXCLUDE (parts), unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS pos FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM corpus)),
+  f AS (SELECT *, 'What does ' || coalesce(ticker, '') || ' report regarding ' || regexp_replace(regexp_replace(regexp_extract(s, '{_FACT}', 1), '\\s+', ' ', 'g'), '^[ ,-]+|[ ,-]+$', '', 'g') || ' in its FY' || coalesce(fiscal_year::VARCHAR, '') || ' 10-K?' AS question FROM c WHERE regexp_extract(s, '{_FACT}', 1) <> '' AND regexp_extract(s, '{_FACT}', 2) <> '')
+  SELECT question, {_strip("s")} AS answer, text AS context, ticker, fiscal_year, section, chunk_id, pos::INT AS pos FROM f QUALIFY row_number() OVER (PARTITION BY {_norm("question")} ORDER BY chunk_id, pos) = 1""")
 def synthetic_qa(spark: SparkSession, d: str) -> DataFrame:
     return dataset.synthesize(corpus(spark, d))
 
@@ -445,11 +492,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return extract_measures(table(spark, d, "chunks"), table(spark, d, "measures"), table(spark, d, "units"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, 'kg' AS mass_unit, 'tonne per cubic metre' AS density_unit, round(l_quantity * 2.5, 6) AS mass_common FROM lineitem WHERE l_quantity > 0""")
+_UNITS = {"mass": {"kg": 1.0, "lb": 0.45359237, "tonne": 1000.0}, "density": {"kg/m3": 1.0, "lb/ft3": 16.018463373960142, "t/m3": 1000.0}, "volume": {"m3": 1.0, "ft3": 0.028316846592, "l": 0.001}}
+_COMBOS = ", ".join(f"({9 * i + 3 * j + k}, '{a}', '{b}', '{c}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (a, x) in enumerate(_UNITS["mass"].items()) for j, (b, y) in enumerate(_UNITS["density"].items()) for k, (c, z) in enumerate(_UNITS["volume"].items()))
+_MEASURED = "l_orderkey, l_linenumber, l_suppkey, l_quantity * 2.5 / CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.45359237 ELSE 1000 END AS mass, 2500 / CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 16.018463373960142 ELSE 1000 END AS density, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity / 1000 / CASE l_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.028316846592 ELSE 0.001 END END AS volume"
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER () AS n FROM (SELECT {_MEASURED} FROM lineitem)), c(i, mass_unit, density_unit, volume_unit, x, y, z) AS (VALUES {_COMBOS}),
+  r AS (SELECT t.*, c.*, CASE WHEN mass > 0 AND density > 0 AND volume > 0 THEN round(abs(ln(mass * x) - ln(density * y) - ln(volume * z)), 9) END AS r FROM t, c)
+  SELECT l_orderkey, l_linenumber, CASE WHEN min(r) IS NOT NULL THEN arg_min(mass_unit, (r, i)) END AS mass_unit, CASE WHEN min(r) IS NOT NULL THEN arg_min(density_unit, (r, i)) END AS density_unit, CASE WHEN min(r) IS NOT NULL THEN arg_min(volume_unit, (r, i)) END AS volume_unit, round(CASE WHEN min(r) IS NOT NULL THEN any_value(mass) * arg_min(x, (r, i)) END, 6) AS mass_common, CASE WHEN min(r) IS NOT NULL THEN count(*) FILTER (r <= 0.05) = 1 END AS unique
+  FROM r GROUP BY n, l_orderkey, l_linenumber""")
 def unit_identity(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2.5).alias("mass"), F.lit(2.5).alias("density"), (F.col("l_quantity") / 1000).alias("volume"))
-    units = {"mass": {"kg": 1.0, "tonne": 1000.0}, "density": {"kg per cubic metre": 1.0, "tonne per cubic metre": 1000.0}, "volume": {"cubic metre": 1.0}}
-    return resolve_units(rows, {"mass": 1, "density": -1, "volume": -1}, units).select("l_orderkey", "l_linenumber", "mass_unit", "density_unit", F.round("mass_common", 6).alias("mass_common"))
+    """Mass = density x volume over columns in mixed units, some rows of which several combinations explain, some without a volume."""
+    rows = table(spark, d, "lineitem").selectExpr(*(x.strip() for x in _MEASURED.replace("l_orderkey, l_linenumber, l_suppkey, ", "l_orderkey;l_linenumber;l_suppkey;").replace("AS mass, ", "AS mass;").replace("AS density, ", "AS density;").split(";")))
+    out = resolve_units(rows.withColumns({c: F.col(c).cast("double") for c in _UNITS}), {"mass": 1, "density": -1, "volume": -1}, _UNITS)
+    return out.select("l_orderkey", "l_linenumber", "mass_unit", "density_unit", "volume_unit", F.round("mass_common", 6).alias("mass_common"), "unique")
 
 
 # --- streams
