@@ -245,6 +245,8 @@ def leaked(question: list[str], context: list[str], items: Items, k: int, places
         for s, own in zip(items.sentences[k], of_passage, strict=True):
             if len(s) >= 5 and share(own, held) >= 0.4 and _agrees(s, align(s, part), special, 0.75, 0.75) and _close(s, part):
                 return "sentence"
+        if not _run_likely(passage, special, held, run):
+            continue
         flags = align(passage, part)
         for i in range(len(passage) - run + 1):
             if sum(flags[i : i + run]) >= 0.85 * run and _agrees(passage[i : i + run], flags[i : i + run], special, 0.85, 0.8) and _close(passage[i : i + run], part):
@@ -252,6 +254,17 @@ def leaked(question: list[str], context: list[str], items: Items, k: int, places
     return None
 
 
+def _run_likely(passage: list[str], special: set[str], held: set[str], run: int) -> bool:
+    """False only if every run of words has less than half of its words, or four of ten distinctive ones, as they are in the context: more than light edits."""
+    upto, own, all_own = [0], [0], [0]
+    for w in passage:
+        known, marked = w in held, w in special
+        upto.append(upto[-1] + known)
+        own.append(own[-1] + (known and marked))
+        all_own.append(all_own[-1] + marked)
+    return any(upto[i + run] - upto[i] >= run // 2 and own[i + run] - own[i] >= max(1, 0.4 * (all_own[i + run] - all_own[i])) for i in range(len(passage) - run + 1))
+
+
 def _close(ws: list[str], context: list[str]) -> bool:
     """Whether the words stand close together in the context: some window little longer than they are holds most of them."""
     wanted, width = Counter(ws), len(ws) + max(4, len(ws) // 3)
