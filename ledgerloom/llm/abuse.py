@@ -1,10 +1,11 @@
 """Abusive, hateful and sexual language, scored by clauses.
 
 Method: a weighted finite-state grammar.  A clause's disguises are undone (look-alike letters, digits for
-letters, letters set apart, stretched or starred words, one slip in a long word), then small transducers
-for insult, threat, target, group, sexual content, negation and reported speech run over it.  Rules combine
-their outputs into a weight; isolated words never score, and a clause that negates or soberly reports is
-weighed down.  A document's score is 1 minus the product of (1 - weight) over its clauses.
+letters, letters set apart, stretched or starred words, one slip in a long word).  A lexical transducer writes the
+classes of its words (insults, scorn, targets, groups, bodily harm), transducers of patterns over them write insult,
+threat, contempt for a group and sexual content with their weights, others mark negation, sober and reported
+speech; all are composed into one machine (`automata.Machine`) that reads the clause once.  Isolated words never
+score.  A document's score is 1 minus the product of (1 - weight) over its clauses.
 
 Adding a language means adding to the fixed values below.  One narrow pass over the rows.
 """
@@ -14,14 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from re import _constants as _c
-from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fold import fold, unmark
+from ledgerloom.llm.automata import Machine
 
 # Insulting nouns. All lists are in folded form: lower case, without accents.
 INSULTS = (
@@ -39,6 +39,7 @@ SCORN = "filthy stinking worthless pathetic useless gutless rotten lying disgust
 # Words for peoples and crowds.
 CROWDS = "people settlers immigrants believers migrants refugees foreigners folk natives tribes women men gays lesbians blacks whites jews muslims christians arabs asians africans gypsies travellers minorities families family kind lot".split()
 
+KINDS = ("insult", "threat", "hate", "sexual")
 _VOWEL_SIGNS = str.maketrans("013457@$!|", "oieastasil")
 _ALT_SIGNS = str.maketrans("013457@$!|", "oleastasll")
 
@@ -81,8 +82,18 @@ for _w in sorted(w for w in _LEXICON if len(w) >= 6):
     for _k in range(1, len(_w) - 1):
         _SLIPS.setdefault(_w[:_k] + _w[_k + 1] + _w[_k] + _w[_k + 2 :], _w)
 
+# Swear words that have no other sense.
+_SWEARS = "fuck fucking fucked fucker fuckers shit bullshit merde foutre mierda scheisse scheiss chinga carajo gueule cojones".split()
+_PURE = {w for w in _INSULT if w not in PLAIN_TOO and w.rstrip("s") not in PLAIN_TOO and w[:-2] not in PLAIN_TOO}
+#: Words without a plain sense: one swap or doubling of inner letters is undone in short ones, too.
+_STRONG = {w for w in _PURE | set(_SWEARS) if len(w) >= 4}
+for _w in sorted(_STRONG):
+    for _k in range(1, len(_w) - 2):
+        _SLIPS.setdefault(_w[:_k] + _w[_k + 1] + _w[_k] + _w[_k + 2 :], _w)
+
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*+/])[^\W_](?:\1[^\W_])+)(?![^\W_])")
-_TOKEN = re.compile(r"[^\W_](?:[\w*@$!#|'’\-]*[\w*#@$'’])?|[.,;:!?]")
+_QUOTES = re.compile("[\"“”«»]|(?<![a-z0-9])'(?=[a-z])")
+_TOKEN = re.compile(r"[^\W_](?:[\w*@$!#|'’\-]*[\w*#@$'’])?|[.,;:!?\"]")
 _STARRED = re.compile(r"[a-z][*#]+[a-z]*\Z|[a-z]+[*#]+[a-z]+\Z")
 
 
@@ -108,9 +119,11 @@ def _plain_word(t: str) -> str:
         return t
     if re.search(r"(.)\1", t):
         s = _squeeze(t)
+        if s in _STRONG:
+            return s
         if s in _SQUEEZED and (re.search(r"(.)\1\1", t) or (len(t) >= 5 and _SQUEEZED[s] != s and len(t) != len(_SQUEEZED[s])) or len(t) >= 7):
             return _SQUEEZED[s]
-    if len(t) >= 6:
+    if len(t) >= 4:
         if t in _SLIPS:
             return _SLIPS[t]
         if len(t) >= 7:
@@ -124,88 +137,104 @@ def _plain_word(t: str) -> str:
 _SOUND = frozenset("parasitic failures animate animals lesions savings leeches wasting masters cleared failing coward cowards disease diseases".split())
 
 
-def undisguise(clause: str) -> str:
-    """Folded text of a clause with disguised words spelled out."""
-    folded = fold(clause).replace("’", "'")
-    folded = _APART.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), folded)
-    return " ".join(_plain_word(t) for t in _TOKEN.findall(folded))
-
-
-def _alt(words) -> str:
-    return "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
-
+_ELIDED = re.compile(r"\b(d|l|n|c|j|m|t|s|qu)'(?=[a-z]{2})")
 
-_INS = f"(?:{_alt(_INSULT)})"
-_PURE = f"(?:{_alt(w for w in _INSULT if w not in PLAIN_TOO and w.rstrip('s') not in PLAIN_TOO and w[:-2] not in PLAIN_TOO)})"
-_ADJ = f"(?:{_alt(_SCORN)})"
-_YOU = r"(?:you|your|yours|yourself|yourselves|you're|ur|u|ye|du|dich|dir|dein|deine|ihr|euch|sie alle|tu|toi|te|ton|ta|tes|vous|vos|votre|t|eres|ti|tus|os|vosotros|usted|ustedes|tuo|tua|sei|voce|jij|je bent)"
-_FOLK = rf"(?:@group|(?:[a-z]+ )?(?:{_alt(CROWDS)}))"
-_GAP = r"(?:[\w'*-]+ ){0,%d}?"
 
-#: Each transducer reads an undisguised clause and gives a weight. Order does not matter.
-RULES: list[tuple[str, float, re.Pattern]] = [
-    (kind, weight, re.compile(pattern))
-    for kind, weight, pattern in [
+def undisguise(clause: str) -> list[str]:
+    """Words and marks of a clause, folded, with disguised words spelled out; "@group" stands for the name of a people."""
+    folded = _QUOTES.sub(' " ', fold(clause).replace("’", "'"))
+    folded = _APART.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), folded)
+    if "'" in folded:
+        folded = _ELIDED.sub(r"\1' ", folded)
+    return ["@group" if t == "qqgroupqq" else _plain_word(t) for t in _TOKEN.findall(folded)]
+
+
+# Classes of words that the patterns below name.
+CLASSES = {
+    "ins": _INSULT,
+    "pure": _PURE,
+    "adj": _SCORN,
+    "crowd": CROWDS,
+    "you": "you your yours yourself yourselves you're ur u ye du dich dir dein deine ihr euch tu toi te ton ta tes vous vos votre t eres ti tus os vosotros usted ustedes tuo tua sei voce jij".split(),
+    "det": "a an the ein eine une un una les such one what".split(),
+    "is": "are is was were sind ist sont son es sono sao zijn".split(),
+    "fill": "all just nothing but only like no better than de la unos unas un una des eine ein a an the wie alle".split(),
+    "vermin": "vermin animal animals subhuman subhumans sub-human parasite parasites filth scum trash garbage cockroaches rats disease plague cancer savages thieves criminals liars dirt pigs dogs monkeys ungeziefer abschaum untermenschen parasiten ratten tiere vermine racaille animaux sous-hommes escoria animales ratas basura plaga parasitos feccia bestie".split(),
+    "harm": "kill hurt stab shoot beat punch smash break burn hang strangle slap hunt choke crush cut rip skin bash bury".split(),
+    "body": "you your yours his her their face teeth bone bones skull throat head neck kneecaps house him them".split(),
+    "killed": "beaten shot hanged hung whipped lynched stoned punched slapped killed burned burnt gassed raped stabbed drowned exterminated".split(),
+    "die": "choke chokes burn burns die dies rot rots drown drowns disappear hang jump suffocate perish suffer suffers bleed vanish crash starve fall drop".split(),
+    "they": "you they he she somebody someone".split(),
+    "tellers": "said says called wrote quoted quotes alleged shouted yelled told described accused reads read".split(),
+    "sober": (
+        "policy policies harassment moderator moderators moderation removed remove banned training trained claim claims lawsuit court dismissed tribunal infection infections clinic screening patient patients treats treatment abusive reported report reports definition glossary"
+        " so-called refer refers denote denotes survey study research researchers education prevention victim victims helpline slaughter terminal terminals file files compressor compressors mill mills cockpit livestock poultry farm"
+    ).split(),
+}
+
+#: The pattern transducers: kind, weight, pattern. Order plays no part.
+PATTERNS: list[tuple[str, float, str]] = [
+    (kind, weight, pattern.strip())
+    for kind, weight, patterns in [
         # insult bound to a target
-        ("insult", 0.9, rf"\b{_YOU}\b (?:[\w'-]+ ){{0,6}}?{_PURE}\b"),
-        ("insult", 0.9, rf"\b(?:you|you're|du|ihr|tu|eres) (?:are |re |bist |seid |es |n'es |n es )?(?:qu'un |qu un |nothing but |just |such |only )?(?:an? |ein |eine |une? |un |les |the )?(?:{_ADJ} |[\w-]+ ){{0,2}}?{_INS}\b"),
-        ("insult", 0.9, rf"\b(?:an? |the |ein |eine |une? |una? |what an? |complete |total |utter |absolute |born an? ){{0,2}}(?:{_ADJ} )+(?:little |old |fat )?{_INS}\b"),
-        ("insult", 0.85, rf"\b(?:is|are|was|be|being|born|such|complete|total|utter|absolute|what) (?:an? |the )?(?:complete |total |utter |absolute |bunch of |pack of |gang of |bloody )?{_PURE}\b"),
-        ("insult", 0.85, rf"\b(?:pack|bunch|gang|band|horde|bande|pandilla|atajo|haufen|tas) (?:of |d'|d |de |von )(?:{_ADJ} )?{_INS}\b"),
-        ("insult", 0.85, rf"\b{_PURE} (?:like you|like him|like her|like them|that you are|wie du|wie dich|wie euch|wie ihr|comme toi|comme vous|como tu|como vosotros)\b"),
-        ("insult", 0.85, rf"\b(?:the|that|this|these|those) (?:{_ADJ} )?{_INS} (?:who|that) (?:\w+ ){{0,6}}?(?:is|are|was)? ?(?:an? |such )?(?:\w+ )?{_INS}\b"),
-        ("insult", 0.8, rf"(?:^|[,;:!.] )(?:you |du |ihr |espece de |espece d'|pedazo de |bande de |so ein |sale |pobre |maldito |malditos )?{_PURE} ?(?:[!.,]|$)"),
-        ("insult", 0.85, rf"\b(?:espece d'|espece de |pedazo de |bande d'|bande de |tas de |sale |hijos? de )\s?{_INS}\b"),
-        ("insult", 0.85, rf"\b(?:pareil|tels|todos los|todas las|unos|unas) {_PURE}\b"),
-        ("insult", 0.8, r"\byou (?:are |re |'re )?(?:so |really |just |too )?(?:braindead|brainless|worthless|pathetic|spineless|retarded|disgusting)\b"),
-        ("insult", 0.85, r"\b(?:waste of (?:skin|space|oxygen|air|breath)|oxygen thief|more brains than (?:you|him|her|them)|as (?:dim|dumb|stupid|thick|ugly) as you|ashamed of (?:raising|having) (?:such |you)|your mother\b.{0,40}\bashamed)"),
-        ("insult", 0.85, r"\b(?:crawl|crawled) back (?:under|into|to) (?:your|the|that|his|her|its)\b"),
-        ("insult", 0.85, r"\b(?:braindead or|are you (?:braindead|retarded|brainless|mental|thick|stupid))\b"),
-        ("insult", 0.9, r"\b(?:fuck|screw|damn|curse) (?:you|your|off|yourself|them all|the lot)\b|\b(?:piss|sod|bugger|fuck) off\b|\bgo (?:fuck|screw|kill|hang|drown|die)\b|\bget (?:fucked|stuffed|lost you)\b|\bsuck my\b|\beat shit\b|\bkiss my (?:ass|arse)\b"),
-        ("insult", 0.8, r"\b(?:bullshit|shit)\b.{0,40}\b(?:you|your|they|rot)\b|\b(?:lying|stupid|fat) (?:\w+ )?(?:should|can) (?:rot|burn|die)\b"),
-        ("insult", 0.85, rf"\bshut (?:up|your (?:mouth|trap|face|hole))\b.{{0,20}}\b{_INS}\b|\bshut your (?:mouth|trap|face|hole)\b|\bshut the (?:fuck|hell) up\b"),
-        ("insult", 0.8, r"\byou make me (?:sick|puke|vomit)\b|\bgo cry (?:somewhere|elsewhere|to)\b.{0,20}"),
-        ("insult", 0.9, r"\bhalt(?:et)? (?:die |deine |eure )?(?:fresse|klappe|schnauze|maul)\b|\bverpiss(?:t)? (?:dich|euch)\b|\bfick(?:t)? (?:dich|euch)\b|\bleck(?:t)? mich\b|\b(?:ferme|fermez) (?:ta|vos|la|votre) (?:gueule|bouche)\b|\bta gueule\b|\b(?:va|allez) (?:te|vous) faire (?:foutre|enculer|voir)\b|\bnique ta\b|\bva au diable\b|\bcallate (?:la boca|el hocico)\b|\bvete (?:al|a la) (?:carajo|mierda|diablo|infierno)\b|\bque te (?:jodan|den|follen)\b|\bme cago en\b|\bchinga tu\b|\bvai? (?:a fare in culo|se foder|tomar no cu)\b|\bvaffanculo\b|\brot op\b"),
+        ("insult", 0.9, "<you> ~6 <pure> ; you|you're|du|ihr|tu|eres are|re|bist|seid|n'? es? qu'un|qu'|nothing_but|just|such|only? <det>? ~2 <ins> ; <adj> little|old|fat? <ins>"),
+        ("insult", 0.85, "is|are|was|be|being|born|such|complete|total|utter|absolute|what a|an|the? complete|total|utter|absolute|bunch_of|pack_of|gang_of|bloody? <pure> ; pack|bunch|gang|band|horde|bande|pandilla|atajo|haufen|tas of|d'|d|de|von <adj>? <ins>"),
+        ("insult", 0.85, "<pure> like|wie|comme|como you|him|her|them|du|dich|euch|ihr|toi|vous|tu|vosotros ; <pure> that_you_are ; the|that|this|these|those <adj>? <ins> who|that ~6 is|are|was? an|a|such? ~1 <ins>"),
+        ("insult", 0.8, "^|,|;|:|!|. you|du|ihr|espece_de|espece_d'|pedazo_de|bande_de|so_ein|sale|pobre|maldito|malditos? <pure> !|.|,|$ ; you|you're are|re? so|really|just|too? braindead|brainless|worthless|pathetic|spineless|retarded|disgusting"),
+        ("insult", 0.85, "espece|pedazo|bande|tas|hijo|hijos d'|de <ins> ; sale <ins> ; pareil|tels|todos_los|todas_las|unos|unas <pure>"),
+        ("insult", 0.85, "waste_of skin|space|oxygen|air|breath ; oxygen_thief ; more_brains_than you|him|her|them ; as dim|dumb|stupid|thick|ugly as_you ; ashamed_of raising|having ; your_mother ~~8 ashamed ; crawl|crawled back under|into|to your|the|that|his|her|its ; braindead_or ; are_you braindead|retarded|brainless|mental|thick|stupid"),
+        ("insult", 0.9, "fuck|screw|damn|curse you|your|off|yourself|them_all|the_lot ; piss|sod|bugger off ; go fuck|screw|kill|hang|drown|die ; get fucked|stuffed|lost_you ; suck_my ; eat_shit ; kiss_my ass|arse"),
+        ("insult", 0.8, "bullshit|shit ~~8 you|your|they|rot ; lying|stupid|fat ~1 should|can rot|burn|die ; you_make_me sick|puke|vomit ; go_cry somewhere|elsewhere|to"),
+        ("insult", 0.85, "shut_up ~~4 <ins> ; shut_your mouth|trap|face|hole ; shut_the fuck|hell up"),
+        ("insult", 0.9, "halt|haltet die|deine|eure? fresse|klappe|schnauze|maul ; verpiss|verpisst|fick|fickt dich|euch ; leck|leckt mich ; ferme|fermez ta|vos|la|votre gueule|bouche ; ta_gueule ; va|allez te|vous faire foutre|enculer|voir ; nique_ta ; va_au_diable ; callate la_boca|el_hocico ; vete al|a_la carajo|mierda|diablo|infierno ; que_te jodan|den|follen ; me_cago_en ; chinga_tu ; vaffanculo|rot_op ; va|vai a_fare_in_culo|se_foder|tomar_no_cu"),
         # threat
-        ("threat", 0.95, r"\b(?:i|we|i'll|we'll|i'm|somebody|someone|they) (?:will |would |am |'ll |are |gonna |going to |should |ought to |must |shall |want to |want |swear i will )*(?:find (?:out )?where you|kill|hurt|stab|shoot|beat|punch|smash|break|burn|hang|strangle|slap|hunt|choke|crush|cut|rip|skin|spit on|come for|make you (?:pay|suffer|bleed|regret)|knock|bash|bury)\b.{0,40}\b(?:you|your|yours|his|her|their|face|teeth|bones?|skull|throat|head|neck|kneecaps|house|him|them)\b"),
-        ("threat", 0.95, r"\bfind where you live\b|\bknow where you (?:live|sleep|work)\b|\bmake you pay\b|\bbreak every bone\b|\bwatch your back\b|\byou (?:will|'ll|are going to|gonna) (?:die|bleed|suffer|regret|pay for)\b|\byou are dead\b|\byour (?:family|kids|children) (?:will|are next)\b"),
-        ("threat", 0.9, r"\b(?:deserves?|deserved|ought|needs?|should|want|wants) to (?:be |get )(?:beaten|shot|hanged|hung|whipped|lynched|stoned|punched|slapped|killed|burned|burnt|gassed|raped|thrown (?:out of|off|under)|put down|strung up|stabbed|drowned)\b|\bshould (?:be|get) (?:beaten|shot|hanged|hung|whipped|lynched|stoned|punched|killed|burned|gassed|raped|put down|strung up|stabbed|drowned|exterminated)\b"),
-        ("threat", 0.9, r"\b(?:hope|wish|pray|may|would|should|can|just|please|to|and|you|lot|them|all|:|,|must) (?:[\w']+ ){0,5}?(?:drop dead|rot in hell|burn in hell|jump off a|jump under|choke (?:on|to)|chokes on|die in a|die of|die alone|die slowly|drown|get cancer|get hit by|kill (?:yourself|themselves)|end (?:yourself|your life)|hang yourself|rot|go to hell)\b"),
-        ("threat", 0.9, r"\b(?:drop dead|rot in hell|burn in hell|go to hell|die in a (?:ditch|fire|hole|gutter)|kys|kill yourself|hang yourself|jump off a (?:bridge|cliff|roof|building))\b"),
-        ("threat", 0.9, r"\bwhy (?:don't|do not|not|dont) you (?:just |all |finally )*(?:choke|burn|die|rot|drown|disappear|hang|jump|drop)\b"),
-        ("threat", 0.9, r"\b(?:die|choke|burn|rot|drown|hang|suffocate|perish)\b ?,? ?(?:all of you|the lot of you|every one of you|you lot)\b"),
-        ("threat", 0.9, r"\b(?:wish|hope|pray) (?:that )?(?:you|they|he|she|somebody|someone|the \w+ \w+) (?:would |all |will |both |just )*(?:choke|chokes|die|dies|burn|burns|rot|rots|drown|drowns|disappear|suffer|suffers|jump|fall|bleed|vanish|crash|starve)\b"),
-        ("threat", 0.85, r"\bnobody would miss you\b|\b(?:do|make) the world a (?:favou?r|better place)\b.{0,40}\b(?:disappear|die|vanish|gone|end|leave|jump)\b|\bnot be allowed to (?:breathe|live|breed|vote|exist)\b|\bthe world (?:would be|is) better without (?:you|them)\b"),
-        ("threat", 0.9, r"\b(?:schlag|schlage|hau|haue|brech|breche|bring|bringe|mach|mache|trete|tret) (?:ich )?(?:dir|dich|euch|ihn|sie)\b|\bich (?:schlag|schlage|bring|bringe|finde|finde heraus|mach|mache|brech|breche) (?:dir|dich|euch)\b|\bsoll(?:t|en|st)? (?:\w+ ){0,5}?(?:verrecken|krepieren|verrotten|sterben|brennen)\b|\b(?:verreck|verrecke|krepier|krepiere)\b|\b(?:allez|va|qu'ils|qu'il|qu'elle|puissent|puisses) (?:tous )?(?:crever|creve|crevent|mourir|bruler|pourrir)\b|\bje vais te (?:tuer|casser|buter|crever|frapper|defoncer|retrouver|peter|demolir)\b|\bte voy a (?:partir|matar|romper|reventar|encontrar|moler|dar)\b|\bos voy a (?:partir|matar|romper|reventar)\b|\bojala (?:os|te|se|que)? ?(?:\w+ )?(?:pudrais|pudras|mueras|muerais|mueran|pudran|revientes|ardais|ardas)\b|\bmuerete\b|\bti (?:ammazzo|spacco)\b|\bvou te (?:matar|quebrar)\b"),
-        ("threat", 0.85, r"\b(?:te|vous|dir|dich) (?:casser|peter|briser|polieren|einschlagen) (?:la|les|die|das) (?:gueule|dents|jambes|tete|fresse|zahne|knochen)\b|\bpartir la cara\b|\bzahne aus\b|\bla gueule\b.{0,30}\b(?:casse|casser|peter|pete|eclate)\b"),
+        ("threat", 0.95, "i|we|i'll|we'll|i'm|somebody|someone|they will|would|am|are|gonna|going_to|should|ought_to|must|shall|want_to|want|swear_i_will* <harm> ~~7 <body> ; i|we|i'll|we'll|somebody|someone|they will|would|am|are|gonna|going_to|shall|want_to* come_for|spit_on|knock ~~7 <body> ; find out? where_you ; make_you pay|suffer|bleed|regret ; know_where_you live|sleep|work ; find_where_you_live ; break_every_bone ; watch_your_back"),
+        ("threat", 0.95, "you|you'll will|are_going_to|gonna? die|bleed|suffer|regret|pay_for ; you_are_dead ; your family|kids|children will|are_next"),
+        ("threat", 0.9, "deserves|deserve|deserved|ought|needs|need|should|want|wants to be|get <killed> ; deserves|deserve|deserved|ought|needs|need|should|want|wants to be thrown|put|strung out_of|off|under|down|up ; should be|get <killed> ; should be|get put_down|strung_up"),
+        ("threat", 0.9, "hope|wish|pray|may|would|should|can|just|please|to|and|you|lot|them|all|:|,|must ~5 drop_dead|jump_off_a|jump_under|choke_on|choke_to|chokes_on|die_in_a|die_of|die_alone|die_slowly|drown|get_cancer|get_hit_by|kill_yourself|kill_themselves|end_yourself|end_your_life|hang_yourself|rot|go_to_hell ; drop_dead ; rot|burn in_hell ; go_to_hell ; die_in_a ditch|fire|hole|gutter ; kys ; kill|hang yourself ; jump_off_a bridge|cliff|roof|building"),
+        ("threat", 0.9, "why don't|do_not|not|dont you just|all|finally* <die> ; <die> ,? all_of_you|the_lot_of_you|every_one_of_you|you_lot ; wish|hope|pray that? <they> would|all|will|both|just* <die> ; wish|hope|pray that? the ~2 would|all|will|both|just* <die>"),
+        ("threat", 0.85, "nobody_would_miss_you ; do|make the_world_a favor|favour|better_place ~~8 disappear|die|vanish|gone|end|leave|jump ; not_be_allowed_to breathe|live|breed|vote|exist ; the_world would_be|is better_without you|them"),
+        ("threat", 0.9, "schlag|schlage|hau|haue|brech|breche|bring|bringe|mach|mache|trete|tret|finde ich? dir|dich|euch|ihn|sie ; ich finde_heraus ; soll|sollt|sollen|sollst ~5 verrecken|krepieren|verrotten|sterben|brennen ; verreck|verrecke|krepier|krepiere ; allez|va|qu'ils|qu'il|qu'elle|qu'_ils|qu'_il|qu'_elle|puissent|puisses tous? crever|creve|crevent|mourir|bruler|pourrir ; je_vais_te tuer|casser|buter|crever|frapper|defoncer|retrouver|peter|demolir ; te_voy_a partir|matar|romper|reventar|encontrar|moler|dar ; os_voy_a partir|matar|romper|reventar ; ojala os|te|se|que? ~1 pudrais|pudras|mueras|muerais|mueran|pudran|revientes|ardais|ardas ; muerete ; ti ammazzo|spacco ; vou_te matar|quebrar"),
+        ("threat", 0.85, "te|vous|dir|dich casser|peter|briser|polieren|einschlagen la|les|die|das gueule|dents|jambes|tete|fresse|zahne|knochen ; partir_la_cara ; zahne_aus ; la_gueule ~~6 casse|casser|peter|pete|eclate"),
         # contempt for a group
-        ("hate", 0.95, rf"\b{_FOLK} (?:family |families )?(?:are|is|were|sind|ist|sont|son|es|sono|sao|zijn)\b (?:all |just |nothing but |only |like |no better than |de la |unos |unas |un |una |des |la |eine |ein |a |an |the |wie )*(?:{_ADJ} )?(?:vermin|animals?|subhumans?|sub-human|parasites?|filth|scum|trash|garbage|cockroaches|rats|disease|plague|cancer|savages|thieves|criminals|liars|dirt|pigs|dogs|monkeys|ungeziefer|abschaum|untermenschen|parasiten|ratten|tiere|vermine|racaille|animaux|sous-hommes|rats|escoria|animales|ratas|basura|plaga|parasitos|feccia|bestie)\b"),
-        ("hate", 0.9, rf"@group\b(?!.*\b(?:plant|line|unit|site)\b.*\b(?:makes|serves|holds)\b).{{0,90}}\b(?:vermin|subhumans?|parasites?|filth|filthy|scum|plague|disease|breed like|driven out|drive out|barred from|deport|thieves|liars|do not belong|don't belong|does not belong|animals|infest|sous-hommes|sous hommes|vermine|ungeziefer|untermenschen|animales|dreckiges pack|gesindel|nicht erst|vertrieben|chasse|out of here|ruin|crawled|invaders?|inferior|degenerates?)\b"),
-        ("hate", 0.9, r"\bthey (?:are|re|'re) (?:all )?(?:vermin|subhuman|animals|parasites|filth|scum|a plague|a disease|a cancer|savages|cockroaches)\b|\b(?:son|sont|sind|es sind|ce sont) (?:unos |des |de la |alle )?(?:animales|animaux|vermine|ungeziefer|tiere|abschaum|ratas|escoria)\b"),
-        ("hate", 0.9, r"\bbreeds? like (?:rats|rabbits|flies|vermin|cockroaches)\b|\bby blood\b|\b(?:their|that|his|her) kind (?:is|are)? ?(?:a |not |must|should|can|of )?\b|\bdriven out of\b.*\bvermin\b|\bdecent (?:folk|people|families|citizens)\b"),
-        ("hate", 0.9, rf"\b(?:deport|expel|gas|sterili[sz]e|exterminate|wipe out|get rid of|round up|throw out|kick out|lock up) (?:every|all|each|these|those|the|them)\b.{{0,30}}(?:@group|\b(?:{_alt(CROWDS)})\b|last one)"),
-        ("hate", 0.9, rf"\bonly good (?:@group|[\w-]+(?: (?:{_alt(CROWDS)}))?) (?:is|are|was)\b|\bgod made a mistake\b|\bback (?:to )?where (?:they|you|he|she) (?:came|crawled)\b|\bcrawled out (?:from|of)\b"),
-        ("hate", 0.85, r"\b(?:was|were|used to be) (?:clean|safe|decent|quiet|civili[sz]ed|nice|fine|better|peaceful) (?:until|before|till) (?:the |all |those |these )?(?:@group|[\w-]+ (?:people|settlers|immigrants|believers|migrants|refugees|folk))"),
-        ("hate", 0.85, r"\b(?:never|don't|do not|cannot|can't) trust (?:an? |any )?(?:\w+ ){0,4}?(?:@group|their kind|those people)|\b(?:filthy|dirty|stinking|rotten|dreckiges|sale) (?:lot|pack|bunch|breed|race|people|folk|swine)\b|\bfor hiring @group|\b(?:because|as|since) @group (?:made|built|own|run|touched|work)"),
-        ("hate", 0.85, r"\b(?:nothing|all|typical|just like|these|those|no|keep|send|hate|like|solche wie die|solche wie|con|les|die|des|los|las) (?:the |all |those )?@group\b.{0,80}\b(?:expect|esperar|reinlassen|lazy|steal|stupid|back|away|dreckig\w*|go home|cheat|smell|stink|trouble|unclean|not welcome|liars|thieves|never)\b"),
+        ("hate", 0.95, "@group|<crowd> family|families|people? <is> <fill>* <adj>? <vermin>"),
+        ("hate", 0.9, "@group ~~18 vermin|subhuman|subhumans|parasite|parasites|filth|filthy|scum|plague|disease|breed_like|driven_out|drive_out|barred_from|deport|thieves|liars|do_not_belong|don't_belong|does_not_belong|animals|infest|sous-hommes|vermine|ungeziefer|untermenschen|animales|dreckiges_pack|gesindel|nicht_erst|vertrieben|chasse|out_of_here|ruin|crawled|invader|invaders|inferior|degenerate|degenerates"),
+        ("hate", 0.9, "they|they're are|re|all* vermin|subhuman|animals|parasites|filth|scum|a_plague|a_disease|a_cancer|savages|cockroaches ; son|sont|sind unos|des|de_la|alle? animales|animaux|vermine|ungeziefer|tiere|abschaum|ratas|escoria"),
+        ("hate", 0.9, "breed|breeds like rats|rabbits|flies|vermin|cockroaches ; by_blood ; their|that|his|her kind is|are|a|not|must|should|can|of ; driven_out_of ~~20 vermin ; decent folk|people|families|citizens"),
+        ("hate", 0.9, "deport|expel|gas|sterilise|sterilize|exterminate|wipe_out|get_rid_of|round_up|throw_out|kick_out|lock_up every|all|each|these|those|the|them ~~6 @group|<crowd>|last_one"),
+        ("hate", 0.9, "only_good ~1 @group|<crowd>? is|are|was ; god_made_a_mistake ; back to? where they|you|he|she came|crawled ; crawled_out from|of"),
+        ("hate", 0.85, "was|were|used_to_be clean|safe|decent|quiet|civilised|civilized|nice|fine|better|peaceful until|before|till the|all|those|these* @group ; was|were|used_to_be clean|safe|decent|quiet|civilised|civilized|nice|fine|better|peaceful until|before|till ~2 people|settlers|immigrants|believers|migrants|refugees|folk"),
+        ("hate", 0.85, "never|don't|cannot|can't|do_not trust a|an|any? ~4 @group|their_kind|those_people ; filthy|dirty|stinking|rotten|dreckiges|sale lot|pack|bunch|breed|race|people|folk|swine ; for_hiring_@group ; because|as|since @group made|built|own|run|touched|work"),
+        ("hate", 0.85, "nothing|all|typical|just_like|these|those|no|keep|send|hate|like|solche_wie|con|les|die|des|los|las the|all|those|die? @group ~~16 expect|esperar|reinlassen|lazy|steal|stupid|back|away|dreckig+|go_home|cheat|smell|stink|trouble|unclean|not_welcome|liars|thieves|never"),
         # sexual
-        ("sexual", 0.95, r"\b(?:blowjob|handjob|gangbang|milf|cumshot|threesome|creampie)s?\b|\b(?:porn|porno|xxx) (?:tape|video|clip|clips|movie|pics|site|star|party|full|film)\b|\b(?:full|free|hot|watch|uncensored|leaked|hardcore|click)\b.{0,40}\b(?:porn|porno|xxx|nudes?)\b"),
-        ("sexual", 0.9, r"\b(?:hot|horny|sexy|naked|nude|young|wild|dirty|bored|lonely|wet|kinky|busty|nasty|college) (?:\w+ )?(?:girls?|women|woman|singles?|babes?|teens?|wives|wife|ladies|milfs|boys?|men|chicks?|models?|sluts?|housewives|nurses?)\b.{0,80}\b(?:sex|naked|undress|live|fun|tonight|strip|near|free|discreet|waiting|chat|cam|clips|xxx|fuck|meet|meets|seeks?|wants?)\b"),
-        ("sexual", 0.9, r"\b(?:want|wants|wanting|need|needs|have|having|like|offer|offers|pay for|free|hot|quieren|will|wollen|suche|ohne) (?:\w+ )?sexo? (?:tonight|now|with|chat|ohne|esta noche|on|in the|all|date)\b|\bsex (?:tonight|chat|cam|tape|ohne grenzen|party|toys? for|with (?:me|you|her|him))\b|\bquieren sexo\b"),
-        ("sexual", 0.9, r"\bsend (?:me )?(?:your )?(?:nudes?|naked|pics of your)\b|\b(?:great|nice|huge|big|hot|sexy|perfect|her|his|firm) (?:tits|boobs|ass|arse|rack|cock|dick|butt|cleavage|legs)\b|\b(?:bang|fuck|ride|screw|shag|do|bend|lick|suck|undress|spank|grope) (?:her|him|me|you|them) (?:\w+ ){0,3}?(?:on the|all night|over|hard|in the|from behind|right now|desk|until|so)\b|\bi would (?:bang|shag|bend|do|tap|ride|smash) (?:her|him|that|you)\b"),
-        ("sexual", 0.9, r"\b(?:jerk|jerks|jerking|jerked|wank|wanks|wanking|masturbat\w+|fingering|touch\w* (?:himself|herself|myself))\b(?: off)?.{0,30}\b(?:off|during|to|over|in|while|at)\b|\bmoan(?:s|ed|ing) (?:so |very )?(?:loud|hard|in)\b|\bget(?:s|ting)? (?:hard|wet|horny|turned on|an? erection) (?:every time|when|for|thinking|just|from|watching)\b|\bbends? over\b.{0,20}$|\bstar(?:e|es|ing) at (?:the |her |his |\w+'s )?(?:\w+(?: 's|'s)? )?(?:tits|arse|ass|boobs|legs|cleavage|butt|breasts)\b"),
-        ("sexual", 0.9, r"\bstrip (?:and|for|naked|off|down) (?:\w+ ){0,2}?(?:me|ride|you|us|dance|all)\b|\b(?:ride|riding|take|taking) me\b.{0,20}\b(?:night|hard|baby)\b|\bescorts?\b.{0,50}\b(?:positions|cash|hour|night|services?|discreet|outcall|incall|available)\b|\bdirty (?:fun|talk|pics|weekend)\b|\b(?:discreet|nsa|no strings)\b.{0,30}\b(?:sex|fun|men|women|meet|affair)\b|\bundress(?:es|ing)? (?:live|for|on|slowly|you)\b|\bwet (?:pussy|for you)\b|\bmy (?:cock|dick|pussy)\b|\bmake love to me\b|\bin bed with (?:me|you|us)\b"),
-        ("sexual", 0.9, r"\b(?:geile|heisse|nackte|nackt|scharfe|versaute) (?:\w+ )?(?:frauen|madchen|girls|weiber|singles|frau|studentinnen|schlampen|hausfrauen|manner)\b|\b(?:filles?|femmes?|meufs?) (?:\w+ )?(?:nues?|chaudes?|coquines?|sexy)\b|\b(?:veulent|veut|envie de) (?:baiser|coucher|du sexe|te sucer)\b|\b(?:chicas?|mujeres|chavas) (?:\w+ )?(?:desnudas?|calientes?|cachondas?|guarras?)\b|\bsex ohne\b|\bohne grenzen\b.{0,20}$|\bplan cul\b|\bragazze (?:nude|calde)\b|\bmulheres (?:nuas|peladas)\b"),
+        ("sexual", 0.95, "blowjob|blowjobs|handjob|handjobs|gangbang|gangbangs|milf|milfs|cumshot|cumshots|threesome|threesomes|creampie|creampies ; porn|porno|xxx tape|video|clip|clips|movie|pics|site|star|party|full|film ; full|free|hot|watch|uncensored|leaked|hardcore|click ~~8 porn|porno|xxx|nude|nudes"),
+        ("sexual", 0.9, "hot|horny|sexy|naked|nude|young|wild|dirty|bored|lonely|wet|kinky|busty|nasty|college ~1 girl|girls|women|woman|single|singles|babe|babes|teen|teens|wives|wife|ladies|milfs|boy|boys|men|chick|chicks|model|models|slut|sluts|housewife|housewives|nurse|nurses ~~16 sex|naked|undress|live|fun|tonight|strip|near|free|discreet|waiting|chat|cam|clips|xxx|fuck|meet|meets|seek|seeks|want|wants"),
+        ("sexual", 0.9, "want|wants|wanting|need|needs|have|having|like|offer|offers|pay_for|free|hot|quieren|will|wollen|suche|ohne ~1 sex|sexo tonight|now|with|chat|ohne|esta_noche|on|in_the|all|date ; sex tonight|chat|cam|tape|ohne|party|toy_for|toys_for ; sex_with me|you|her|him ; quieren_sexo"),
+        ("sexual", 0.9, "send me? your? nude|nudes|naked|pics_of_your ; great|nice|huge|big|hot|sexy|perfect|her|his|firm tits|boobs|ass|arse|rack|cock|dick|butt|cleavage|legs ; bang|fuck|ride|screw|shag|do|bend|lick|suck|undress|spank|grope her|him|me|you|them ~3 on_the|all_night|over|hard|in_the|from_behind|right_now|desk|until|so ; i_would bang|shag|bend|do|tap|ride|smash her|him|that|you"),
+        ("sexual", 0.9, "jerk|jerks|jerking|jerked|wank|wanks|wanking|masturbat+|fingering|touch_himself|touch_herself|touch_myself|touches_himself|touches_herself|touching_himself|touching_herself|touching_myself off? ~~6 off|during|to|over|in|while|at ; moan|moans|moaned|moaning so|very* loud|hard|in ; get|gets|getting hard|wet|horny|turned_on|erection|an_erection every_time|when|for|thinking|just|from|watching ; bend|bends over ~~4 $ ; stare|stares|staring at ~3 tits|arse|ass|boobs|legs|cleavage|butt|breasts"),
+        ("sexual", 0.9, "strip and|for|naked|off|down ~2 me|ride|you|us|dance|all ; ride|riding|take|taking me ~~4 night|hard|baby ; escort|escorts ~~10 positions|cash|hour|night|service|services|discreet|outcall|incall|available ; dirty fun|talk|pics|weekend ; discreet|nsa|no_strings ~~6 sex|fun|men|women|meet|affair ; undress|undresses|undressing live|for|on|slowly|you ; wet pussy|for_you ; my cock|dick|pussy ; make_love_to_me ; in_bed_with me|you|us"),
+        ("sexual", 0.9, "geile|heisse|nackte|nackt|scharfe|versaute ~1 frauen|madchen|girls|weiber|singles|frau|studentinnen|schlampen|hausfrauen|manner ; fille|filles|femme|femmes|meuf|meufs ~1 nue|nues|chaude|chaudes|coquine|coquines|sexy ; veulent|veut|envie_de baiser|coucher|du_sexe|te_sucer ; chica|chicas|mujeres|chavas ~1 desnuda|desnudas|caliente|calientes|cachonda|cachondas|guarra|guarras ; sex_ohne ; ohne_grenzen ~~4 $ ; plan_cul ; ragazze nude|calde ; mulheres nuas|peladas"),
+        # what a clause says about itself: read by `clause_weight`
+        ("negated", 1.0, "not|never|no|isn't|aren't|wasn't|nobody_called|nobody_said|kein|keine|nicht|pas|jamais|nunca|ningun be? called? ~1 a|an|the|such|ein|eine|une|un? ~1 <ins>"),
+        ("direct", 1.0, "<you>"),
+        ("sober", 1.0, "<sober> ; discriminat+ ; alleg+ ; complain+ ; prohibit+ ; forbid+ ; the word|term|phrase ; disease|pest control ; control_contract ; hate_speech ; content_standards ; code_of_conduct ; support_line ; short_selling ; kill_switch"),
+        ("reported", 1.0, '<tellers> ~~10 "'),
     ]
+    for pattern in patterns.split(" ; ")
 ]
-# Words of sober contexts: policy, law, medicine, technology, moderation.
-_SOBER = re.compile(
-    r"\b(?:polic(?:y|ies)|harassment|discriminat\w+|moderators?|moderation|removed|remove|banned|training|trained|claims?|alleg\w+|lawsuit|court|dismissed|tribunal|complain\w*|infections?|clinic|screening|patients?|treats?|treatment|disease control|pest control|control contract|abusive or hateful|hate speech|content standards|code of conduct|reports? of|reported|prohibit\w*|forbid\w*|definition|glossary|the (?:word|term|phrase)|so-called|refers? to|denotes?|survey|study|research|researchers|education|prevention|support line|victims?|helpline|slaughter|terminals?|files?|short selling|compressors?|mills?|kill switch|cockpit|livestock|poultry|farm)\b"
-)
-_NEGATED = re.compile(r"\b(?:not|never|no|isn't|aren't|wasn't|nobody (?:called|said)|kein|keine|nicht|pas|jamais|nunca|ningun) (?:an? |the |such an? |called (?:\w+ )?an? |be called (?:an? )?|ein |eine |une? |un )?(?:\w+ )?%s\b" % _INS)
-_QUOTED = re.compile(r"\b(?:said|says|called|wrote|quoted|quotes?|alleged|shouted|yelled|told|described|accused|reads?)\b.{0,60}[\"“«']")
+MACHINE = Machine(PATTERNS, CLASSES)
+#: How what a clause says about itself weighs on what it does: mark, factor, kinds.
+DAMPING = (("negated", 0.3, ("insult",)), ("sober", 0.35, ("insult", "threat", "hate", "sexual")), ("reported", 0.5, ("insult", "threat", "hate")))
 _CLAUSE = re.compile(r"(?<=[.!?])[\"'”)\]]*\s+(?=\S)|[\r\n]+|(?<=[:;])\s+(?=[A-ZÀ-Þ])|</?[a-zA-Z][^>]{0,80}>")
-_CAPITAL_GROUP = re.compile(r"\b(?!(?:The|All|Every|Typical|Keep|Send|Les|Die|Des|Con|Solche|Jamais|God|Never|Only|No|We|I|Our|In|Of|At|And|Con|Storms|Sales|Customers|Competitors|Dividends|Shares|Drinks|Notes|Goods)\b)(?:[A-Z][a-z]+ (?:people|settlers|immigrants|believers|migrants|refugees|folk|natives|nomads|travellers|pilgrims|tribes?|tribesmen|newcomers|exiles|workers)\b|[A-Z][a-z]+(?:ians?|ans|ari|folk|ites?|ish|ards|lings)\b(?! (?:[A-Z]|plant|unit|line|agreement|claim|notes|market)))")
+# Nouns that a name in front makes a people; endings of names of peoples; words that stand in front of one without being a name.
+_FOLK = "people settlers immigrants believers migrants refugees folk natives nomads travellers pilgrims tribe tribes tribesmen newcomers exiles workers".split()
+_ENDINGS = "ian ians ans ari folk ite ites ish ards lings".split()
+_NO_NAME = "The All Every Typical Keep Send Les Die Des Con Solche Jamais God Never Only No We I Our In Of At And These Those Some Many Most Few Other Such More Local Young Old".split()
+_CAPITAL_GROUP = re.compile(rf"\b(?!(?:{'|'.join(_NO_NAME)})\b)(?:[A-Z][a-z]+ (?:{'|'.join(_FOLK)})\b|[A-Z][a-z]+(?:{'|'.join(_ENDINGS)})\b(?! [A-Z]))")
+
+
+#: Two capitalised words or more in a row: a name.
+_NAME = re.compile(r"\b[A-Z][a-z]+(?:[ -][A-Z][a-z]+)+\b")
 
 
 def clauses(text: str | None) -> list[str]:
@@ -215,139 +244,25 @@ def clauses(text: str | None) -> list[str]:
     return [c for c in _CLAUSE.split(_WRAP.sub(" ", text)) if c and not c.isspace()]
 
 
-# Words too frequent to tell clauses apart. They only steer the choice below; any choice is right.
-_FREQUENT = frozenset("a an and all are as at be by can do for from get have how i in is it just like may must need needs no not of on only or our over people sales should so such that the their them these they this those to until want wants was we were what where who will with would you your".split())
-_LIMIT = 5000
-
-
-def _one_of(pattern: str) -> frozenset[tuple[str, bool, bool]] | None:
-    """Words of which each match of a pattern holds at least one, read off its parse tree; None if there is no such set.
-
-    A word is (letters, begins at a boundary, ends at one).  Strings with "@group" are left out: see `_may_match`.
-    """
-
-    def chosen(strings: set[str]) -> frozenset | None:
-        out = set()
-        for s in strings:
-            if "@group" in s:
-                continue
-            words = [(m.group(), m.start() > 0, m.end() < len(s)) for m in re.finditer(r"\w+", s)]
-            if not words:
-                return None
-            out.add(min(words, key=lambda w: (w[0] in _FREQUENT, not (w[1] and w[2]), -len(w[0]), w)))
-        return frozenset(out)
-
-    def best(sets: list[frozenset | None]) -> frozenset | None:
-        return min((x for x in sets if x is not None), key=lambda x: (sum(w in _FREQUENT for w, _, _ in x), sum(not (a and b) for _, a, b in x), len(x)), default=None)
-
-    def strings(items) -> set[str] | None:
-        """All that the items can read, boundaries as \0; None if it is too much."""
-        out = {""}
-        for op, arg in items:
-            if op is _c.LITERAL:
-                own = {chr(arg)}
-            elif op is _c.IN and all(o is _c.LITERAL for o, _ in arg):
-                own = {chr(a) for _, a in arg}
-            elif op is _c.AT:
-                own = {"" if arg is _c.AT_NON_BOUNDARY else "\0"}
-            elif op in (_c.ASSERT, _c.ASSERT_NOT):
-                own = {""}
-            elif op is _c.SUBPATTERN:
-                own = strings(arg[-1])
-            elif op is _c.BRANCH:
-                parts = [strings(x) for x in arg[1]]
-                own = None if None in parts else set().union(*parts)
-            elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT) and arg[1] == 1:
-                own = strings(arg[2])
-                own = own if own is None or arg[0] else own | {""}
-            else:
-                own = None
-            if own is None or len(out) * len(own) > _LIMIT:
-                return None
-            out = {a + b for a in out for b in own}
-        return out
-
-    def closed(own: set[str] | None, at: int) -> bool:
-        """Whether all strings begin (0) or end (-1) outside a word."""
-        return bool(own) and all(x and not re.match(r"\w", x[at]) for x in own)
-
-    def needed(items, edge: bool = False) -> frozenset | None:
-        items, sets = list(items), []
-        run = {"\0"} if edge else {""}
-        for k, item in enumerate(items):
-            own = strings([item])
-            if own is not None and len(run) * len(own) <= _LIMIT:
-                run = {a + b for a in run for b in own}
-                continue
-            edge = closed(run, -1)
-            if closed(own if own and "" not in own else strings(items[k : k + 2]), 0):
-                run = {a + "\0" for a in run}
-            sets.append(chosen(run))
-            op, arg = item
-            if own is not None:
-                run = {("\0" if edge else "") + b for b in own}
-                continue
-            if op is _c.SUBPATTERN:
-                sets.append(needed(arg[-1], edge))
-            elif op is _c.BRANCH:
-                parts = [needed(x, edge) for x in arg[1]]
-                sets.append(None if None in parts else frozenset().union(*parts))
-            elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
-                own = arg[2]
-                while len(own) == 1 and own[0][0] is _c.SUBPATTERN:
-                    own = own[0][1][-1]
-                ends = closed(strings(own[-1:]), -1)  # as in "(?:\w+ )*"
-                if arg[0]:
-                    sets.append(needed(own, edge and ends))
-                edge = ends and (edge or arg[0] > 0)
-                run = {"\0"} if edge else {""}
-                continue
-            run = {""}
-        return best([*sets, chosen(run)])
-
-    return needed(_parser.parse(pattern))
-
-
-_NEEDED = [_one_of(pattern.pattern) for _, _, pattern in RULES]
-_ANY = frozenset().union(*(x for x in _NEEDED if x))
-_WHOLE = frozenset(w for w, a, b in _ANY if a and b)
-_PART = re.compile("|".join(["(?!)", *sorted(rf"{chr(92) + 'b' if a else ''}{re.escape(w)}{chr(92) + 'b' if b else ''}" for w, a, b in _ANY if not (a and b))]))
-_WORD = re.compile(r"\w+")
-
-
-@lru_cache(maxsize=1 << 17)
-def _telling(word: str) -> bool:
-    return word in _WHOLE or bool(_PART.search(word))
-
-
-def _may_match(plain: str) -> bool:
-    """False only if no rule can match: the clause has none of the words that the rules need."""
-    return None in _NEEDED or "@group" in plain or any(map(_telling, _WORD.findall(plain)))
-
-
 _WRAP = re.compile(r"(?<![.!?:])[ \t]*\r?\n[ \t]*(?=[a-zà-þ(])")
 
 
 def clause_weight(clause: str) -> tuple[float, str | None]:
-    """(weight, kind) of a clause; (0.0, None) for a clean one."""
-    marked = unmark(clause)
-    marked = _CAPITAL_GROUP.sub(" @group ", marked)
-    plain = undisguise(marked.replace("@group", "qqgroupqq")).replace("qqgroupqq", "@group")
-    weight, kind = 0.0, None
-    if not _may_match(plain):
-        return weight, kind
-    for k, w, pattern in RULES:
-        if w > weight and pattern.search(plain):
-            weight, kind = w, k
-    if not kind:
+    """(weight, kind) of a clause; (0.0, None) for a clean one.
+
+    The kind of the greatest weight counts, damped by what the clause says about itself: that it negates, or is sober or reported
+    speech. Sober words do not excuse what is said to somebody's face, and words inside names do not count as sober.
+    """
+    marked = _CAPITAL_GROUP.sub(" qqgroupqq ", unmark(clause))
+    found = MACHINE.run(undisguise(marked))
+    kinds = [(w, k) for k, w in found.items() if k in KINDS]
+    if not kinds:
         return 0.0, None
-    direct = re.search(rf"\b(?:{_YOU})\b", plain) and kind in ("insult", "threat")
-    if _NEGATED.search(plain) and kind == "insult":
-        weight *= 0.3
-    if _SOBER.search(plain) and not direct:
-        weight *= 0.35
-    if _QUOTED.search(marked) and kind != "sexual":
-        weight *= 0.5
+    weight, kind = max(kinds, key=lambda x: (x[0], -KINDS.index(x[1])))
+    for mark, factor, own in DAMPING:
+        if mark not in found or kind not in own or mark == "sober" and ("direct" in found and kind in ("insult", "threat") or "sober" not in MACHINE.run(undisguise(_NAME.sub(" ", marked)))):
+            continue
+        weight *= factor
     return weight, kind
 
 

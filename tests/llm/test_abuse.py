@@ -1,10 +1,7 @@
-from re import _constants as c
-from re import _parser
-
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.abuse import RULES, THRESHOLD, _may_match, clause_weight, rates, score, score_texts, undisguise
+from ledgerloom.llm.abuse import CLASSES, MACHINE, PATTERNS, THRESHOLD, clause_weight, rates, score, score_texts, undisguise
 
 BAD = [
     ("You are a worthless moron.", "insult"), ("What a p-a-t-h-e-t-i-c i.m.b.e.c.i.l.e, go cry.", "insult"), ("Piss off, you gutless m o r o n.", "insult"), ("You filthy little b*****d.", "insult"),
@@ -29,6 +26,11 @@ def test_sober_texts_are_not(text):
     assert score(text)[0] < THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["FCUK you and your forecast.", "The clown who wrote this note about Ardtav Clinic Portal is a complete cretin.", "You idoit."])
+def test_swapped_letters_and_names_hide_nothing(text):
+    assert score(text)[0] >= THRESHOLD
+
+
 UNLISTED = ["I know where you sleep.", "We will come for you.", "I will cut his throat", "He needs to be shot.", "kys", "Drown, all of you", "I would shag her", "nice rack", "He was jerking off to her photo", "gets turned on when", "Back to where you came from", "Ich finde dich", "que te follen"]
 
 
@@ -37,36 +39,22 @@ def test_clauses_without_a_listed_word_are_scored(text):
     assert clause_weight(text)[0] >= 0.8
 
 
-def sentences(items):
-    """For every alternative at every place of a parsed pattern a sentence with it, the shortest elsewhere."""
-    parts = []
-    for op, arg in items:
-        if op is c.LITERAL:
-            parts.append([chr(arg)])
-        elif op is c.IN:
-            parts.append([chr(a) for o, a in arg if o is c.LITERAL] if all(o is c.LITERAL for o, _ in arg) else ["x"])
-        elif op is c.ANY:
-            parts.append([" "])
-        elif op is c.SUBPATTERN:
-            parts.append(sentences(arg[-1]))
-        elif op is c.BRANCH:
-            parts.append([x for a in arg[1] for x in sentences(a)])
-        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
-            own = sentences(arg[2])
-            parts.append([x * arg[0] for x in own] if arg[0] else own if own == [" "] else ["", *own])
-    firsts = [p[0] for p in parts]
-    return ["".join(firsts), *("".join([*firsts[:k], x, *firsts[k + 1 :]]) for k, p in enumerate(parts) for x in p[1:])]
-
-
-@pytest.mark.parametrize("k", range(len(RULES)))
-def test_every_alternative_of_every_rule_passes_the_filter(k):
-    pattern = RULES[k][2]
-    made = [x for x in sentences(_parser.parse(pattern.pattern)) if pattern.search(x)]
-    assert made and [x for x in made if not _may_match(x)] == []
+@pytest.mark.parametrize("k", range(len(PATTERNS)))
+def test_every_alternative_of_every_pattern_is_read(k):
+    kind, weight, pattern = PATTERNS[k]
+    first = {name: sorted(words)[0] for name, words in CLASSES.items()}
+    items = []
+    for item in pattern.split():
+        if item[0] != "~":
+            items.append([["" if x in "^$" else first[x[1:-1]] if x[0] == "<" else x.removesuffix("+") for x in alternative.split("_")] for alternative in item.rstrip("?*").split("|")] or [[]])
+    for n, alternatives in enumerate(items):
+        for own in alternatives:
+            words = [w for m, other in enumerate(items) for w in (own if m == n else other[0]) if w]
+            assert MACHINE.run(words).get(kind, 0) >= weight, words
 
 
 def test_undisguise():
-    assert undisguise("m.o.r.o.n 5ubhum4n moooorons b*****d") == "moron subhuman morons bastard"
+    assert undisguise("m.o.r.o.n 5ubhum4n moooorons b*****d") == "moron subhuman morons bastard".split()
 
 
 def test_operator(spark):
