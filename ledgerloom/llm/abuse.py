@@ -179,7 +179,7 @@ PATTERNS: list[tuple[str, float, str]] = [
         # insult bound to a target
         ("insult", 0.9, "<you> ~6 <pure> ; you|you're|du|ihr|tu|eres are|re|bist|seid|n'? es? qu'un|qu'|nothing_but|just|such|only? <det>? ~2 <ins> ; <adj> little|old|fat? <ins>"),
         ("insult", 0.85, "is|are|was|be|being|born|such|complete|total|utter|absolute|what a|an|the? complete|total|utter|absolute|bunch_of|pack_of|gang_of|bloody? <pure> ; pack|bunch|gang|band|horde|bande|pandilla|atajo|haufen|tas of|d'|d|de|von <adj>? <ins>"),
-        ("insult", 0.85, "<pure> like|wie|comme|como you|him|her|them|du|dich|euch|ihr|toi|vous|tu|vosotros ; <pure> that_you_are ; the|that|this|these|those <adj>? <ins> who|that ~6 is|are|was? an|a|such? ~1 <ins>"),
+        ("insult", 0.85, "<pure> like|wie|comme|como you|him|her|them|du|dich|euch|ihr|toi|vous|tu|vosotros ; <pure> that_you_are ; the|that|this|these|those <adj>? <ins> who|that ~12 is|are|was? an|a|such? ~1 <ins>"),
         ("insult", 0.8, "^|,|;|:|!|. you|du|ihr|espece_de|espece_d'|pedazo_de|bande_de|so_ein|sale|pobre|maldito|malditos? <pure> !|.|,|$ ; you|you're are|re? so|really|just|too? braindead|brainless|worthless|pathetic|spineless|retarded|disgusting"),
         ("insult", 0.85, "espece|pedazo|bande|tas|hijo|hijos d'|de <ins> ; sale <ins> ; pareil|tels|todos_los|todas_las|unos|unas <pure>"),
         ("insult", 0.85, "waste_of skin|space|oxygen|air|breath ; oxygen_thief ; more_brains_than you|him|her|them ; as dim|dumb|stupid|thick|ugly as_you ; ashamed_of raising|having ; your_mother ~~8 ashamed ; crawl|crawled back under|into|to your|the|that|his|her|its ; braindead_or ; are_you braindead|retarded|brainless|mental|thick|stupid"),
@@ -200,7 +200,7 @@ PATTERNS: list[tuple[str, float, str]] = [
         ("hate", 0.95, "@group|<crowd> family|families|people? <is> <fill>* <adj>? <vermin>"),
         ("hate", 0.9, "@group ~~18 vermin|subhuman|subhumans|parasite|parasites|filth|filthy|scum|plague|disease|breed_like|driven_out|drive_out|barred_from|deport|thieves|liars|do_not_belong|don't_belong|does_not_belong|animals|infest|sous-hommes|vermine|ungeziefer|untermenschen|animales|dreckiges_pack|gesindel|nicht_erst|vertrieben|chasse|out_of_here|ruin|crawled|invader|invaders|inferior|degenerate|degenerates"),
         ("hate", 0.9, "they|they're are|re|all* vermin|subhuman|animals|parasites|filth|scum|a_plague|a_disease|a_cancer|savages|cockroaches ; son|sont|sind unos|des|de_la|alle? animales|animaux|vermine|ungeziefer|tiere|abschaum|ratas|escoria"),
-        ("hate", 0.9, "breed|breeds like rats|rabbits|flies|vermin|cockroaches ; by_blood ; their|that|his|her kind is|are|a|not|must|should|can|of ; driven_out_of ~~20 vermin ; decent folk|people|families|citizens"),
+        ("hate", 0.9, "breed|breeds like rats|rabbits|flies|vermin|cockroaches ; by_blood ; their|that|his|her kind is|are|a|not|must|should|can|of ; driven_out_of ~~20 vermin ; ungeziefer|vermin|vermine|racaille|abschaum|escoria ~~8 vertrieben|driven_out|chasses|chasse|expulsados ; decent folk|people|families|citizens"),
         ("hate", 0.9, "deport|expel|gas|sterilise|sterilize|exterminate|wipe_out|get_rid_of|round_up|throw_out|kick_out|lock_up every|all|each|these|those|the|them ~~6 @group|<crowd>|last_one"),
         ("hate", 0.9, "only_good ~1 @group|<crowd>? is|are|was ; god_made_a_mistake ; back to? where they|you|he|she came|crawled ; crawled_out from|of"),
         ("hate", 0.85, "was|were|used_to_be clean|safe|decent|quiet|civilised|civilized|nice|fine|better|peaceful until|before|till the|all|those|these* @group ; was|were|used_to_be clean|safe|decent|quiet|civilised|civilized|nice|fine|better|peaceful until|before|till ~2 people|settlers|immigrants|believers|migrants|refugees|folk"),
