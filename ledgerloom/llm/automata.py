@@ -5,7 +5,7 @@ classes it belongs to, the beginnings it has.  The pattern transducer reads symb
 pattern ends.  The composition is made deterministic as it is used: a state is the set of places in all patterns
 reached so far, kept by number, and a step is one look-up by state and symbols.
 
-A pattern is items between spaces.  An item is alternatives between bars, `<name>` for a class, `stem+` for words
+A pattern is items between spaces.  An item is alternatives between bars, `<name>` for a class (without `_`), `stem+` for words
 that begin so, `_` between words of a phrase, with `?` for optional or `*` for any number behind; `~n` is a gap of
 at most n words, `~~n` of at most n words and marks; `^` and `$` are the ends of the text.  Matches may begin anywhere.
 """

@@ -1,7 +1,7 @@
 """Defects of prompt and response pairs.
 
-Method: a suffix automaton of the prompt measures how much of the response is copied from it; refusal
-patterns run over the folded response; a stack of delimiters and the passage behind the pair tell a
+Method: a suffix automaton of the prompt measures how much of the response is copied from it; a refusal
+automaton (`automata.Machine`) reads the folded response once; a stack of delimiters and the passage behind the pair tell a
 response that breaks off; stop words vote on the languages of both sides.  A pair has the first defect of
 `DEFECTS` that holds.  All is one narrow pass over the rows, in Arrow batches.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fold import fold, unmark
+from ledgerloom.llm.automata import Machine
 
 DEFECTS = ("empty_answer", "copies_question", "refusal", "other_language", "truncated_answer")
 
@@ -24,44 +25,40 @@ PLACEHOLDERS = frozenset(
     ["n/a", "na", "nan", "null", "nil", "none", "tbd", "tba", "todo", "empty", "blank", "unknown", "undefined", "missing", "void", "pending", "placeholder", "xxx", "no answer", "no answer given", "not available", "not applicable", "to be determined", "to be done", "no response", "answer", "keine angabe", "k.a", "sans objet", "s/o", "sin respuesta", "lorem ipsum"]
 )
 
-# How answers refuse, on folded text.
-REFUSALS = re.compile(
-    "|".join(
-        [
-            r"\bi(?:'m| am)? ?(?:cannot|can't|can not|could not|couldn't|am unable to|unable to|was unable to|am not able to|was not able to|won't|will not|would not|do not|don't|decline to|must decline|have to decline|refuse to|would rather not|would prefer not|prefer not) ?(?:to )?(?:\w+ ){0,2}?(?:answer|help|assist|provide|discuss|comment|respond|reply|judge|say|tell|find|determine|share|offer|speculate|give|comply|fulfil|do that|know|have (?:enough|access|any|that|the|sufficient)|see|advise|locate|identify|confirm|disclose|decline)\b",
-            r"\bi (?:must|have to|need to) (?:decline|refuse|pass)\b",
-            r"\bi(?:'d| would) rather not\b",
-            r"\bi (?:don't|do not|didn't|did not) know\b",
-            r"\bi(?:'m| am) (?:sorry|afraid)\b.{0,60}\b(?:can't|cannot|unable|not able|no |don't|not)\b",
-            r"\b(?:sorry|apologies|unfortunately|regrettably)\b.{0,50}\b(?:no answer|cannot|can't|could not|unable|not able|not possible|no information|not available)\b",
-            r"\bas an? (?:ai|assistant|language (?:model|tool)|artificial|chatbot|model|virtual)\b",
-            r"\bno (?:answer|reply|response|statement) (?:can|could|is|may) (?:be )?(?:given|made|possible|available|offered|provided)\b",
-            r"\b(?:it )?(?:would|might) (?:be|not be) (?:inappropriate|appropriate|improper|irresponsible|wrong) (?:for me )?to\b",
-            r"\bno (?:further )?(?:information|details?|data) (?:on|about|regarding|concerning)? ?.{0,40}\b(?:is|are|was|were) (?:available|given|provided|found)\b",
-            r"\b(?:that's|that is|this is|it's|it is) (?:outside|beyond|not something)\b.{0,30}\b(?:i|my|me)\b",
-            r"\b(?:passage|text|excerpt|material|context|document|filing|source|question)\b.{0,70}\b(?:does not|doesn't|do not|don't|did not|didn't|fails to) (?:\w+ ){0,2}?(?:say|state|contain|provide|mention|specify|give|include|disclose|tell|answer|cover|address|reveal|hold)\b",
-            r"\b(?:isn't|is not|wasn't|not|no) (?:sufficient|enough|adequate) (?:detail|information|context|data|evidence)\b",
-            r"\b(?:insufficient|inadequate) (?:context|information|detail|data|evidence)\b",
-            r"\b(?:can't|cannot|can not|could not|couldn't) be (?:answered|determined|established|derived|inferred|said|given|found|provided)\b",
-            r"\bnot (?:stated|given|disclosed|mentioned|specified|found|provided|available|answerable|contained|said|known) (?:in|from|by|on) (?:the|this|that|any) (?:text|passage|excerpt|material|context|document|filing|source|record)\b",
-            r"\bnothing in (?:the|this) (?:\w+ ){0,2}?(?:material|passage|text|excerpt|context|document|filing)\b",
-            r"\b(?:a |an )?(?:reply|answer|response) (?:is|was) not possible\b",
-            r"\bplease (?:consult|refer to|see|check|contact|ask)\b.{0,80}\b(?:unable|cannot|can't|could not|not)\b",
-            r"\b(?:unable|not able|not permitted|not allowed|not in a position) to (?:\w+ )?(?:answer|help|assist|provide|discuss|comment|respond|reply|judge|say|find|determine|disclose|give)\b",
-            r"\bwe (?:regret|are sorry|cannot|can't|are unable|decline)\b.{0,50}\b(?:reply|answer|respond|help|comment|possible|provide|assist)\b",
-            r"\b(?:kann|konnte|darf|mochte|werde) (?:ich |wir )?(?:\w+ ){0,6}?(?:nicht|keine)\b.{0,40}\b(?:beantworten|helfen|sagen|angeben|antworten|geben|nennen|aussern)\b",
-            r"\bich (?:kann|darf|mochte|konnte|weiss)\b.{0,60}\b(?:nicht|keine)\b",
-            r"\b(?:geht|lasst sich|ist) (?:\w+ ){0,4}?(?:nicht|keine)\b.{0,30}\b(?:hervor|beantworten|angegeben|moglich|enthalten)\b",
-            r"\b(?:tut mir leid|es tut mir|bedaure)\b",
-            r"\bje (?:ne )?(?:peux|puis|suis|sais|dispose|souhaite)\b.{0,20}\b(?:pas|incapable)\b",
-            r"\b(?:desole|navre|regrette)\b.{0,60}\b(?:pas|impossible)\b|\b(?:impossible de (?:repondre|dire|determiner))\b",
-            r"\b(?:le|ce) (?:texte|passage|document|extrait) ne (?:\w+ ){0,3}?pas\b",
-            r"\bno (?:puedo|podemos|me es posible|se|dispongo|tengo|estoy en condiciones)\b.{0,50}\b(?:responder|ayudar|contestar|decir|informacion|dar|opinar)\b",
-            r"\b(?:lo siento|lamento|disculpe)\b",
-            r"\bel (?:texto|pasaje|documento|fragmento) no (?:\w+ ){0,3}?(?:dice|indica|contiene|menciona)\b",
-        ]
-    )
+# Classes of words in refusals, on folded text.
+REFUSAL_CLASSES = {
+    "cannot": "cannot can't won't don't couldn't didn't".split(),
+    "unable": "unable incapable".split(),
+    "do": "answer help assist provide discuss comment respond reply judge say tell find determine share offer speculate give comply fulfil know see advise locate identify confirm disclose decline".split(),
+    "text": "passage text excerpt material context document filing source question record".split(),
+    "tell": "say state contain provide mention specify give include disclose tell answer cover address reveal hold".split(),
+    "told": "stated given disclosed mentioned specified found provided available answerable contained said known".split(),
+    "seen": "answered determined established derived inferred said given found provided".split(),
+    "lack": "sufficient enough adequate".split(),
+    "facts": "detail details information context data evidence".split(),
+    "dedo": "beantworten helfen sagen angeben antworten geben nennen aussern".split(),
+    "esdo": "responder ayudar contestar decir informacion dar opinar".split(),
+}
+# How answers refuse.
+REFUSALS = (
+    "i'm|i|we am? <cannot>|decline|refuse to? ~2 <do> ; i'm|i am? can|could|will|would|do not|rather_not|prefer_not to? ~2 <do> ; i'm|i am|was? not? <unable>|able to ~2 <do> ; i must|have_to|need_to decline|refuse|pass ; i'd|i would? rather_not",
+    "i have|had no|not ~2 <facts> ; i don't|do_not|didn't|did_not know|have ; i'm|i am? sorry|afraid ~~12 can't|cannot|unable|not|no|don't ; sorry|apologies|unfortunately|regrettably ~~10 no_answer|cannot|can't|could_not|unable|not_able|not_possible|no_information|not_available",
+    "as a|an ai|assistant|language_model|language_tool|artificial|chatbot|model|virtual ; no answer|reply|response|statement can|could|is|may be? given|made|possible|available|offered|provided ; would|might be|not_be inappropriate|appropriate|improper|irresponsible|wrong for_me? to",
+    "no further? information|detail|details|data ~~9 is|are|was|were available|given|provided|found ; that's|that_is|this_is|it's|it_is outside|beyond|not_something ~~6 i|my|me",
+    "<text> ~~12 does_not|doesn't|do_not|don't|did_not|didn't|fails_to ~2 <tell> ; isn't|is_not|wasn't|not|no <lack> <facts> ; insufficient|inadequate <facts> ; can't|cannot|can_not|could_not|couldn't be <seen> ; not <told> in|from|by|on the|this|that|any <text> ; nothing_in the|this ~2 <text>",
+    "reply|answer|response is|was not_possible ; please consult|see|check|contact|ask|refer_to ~~14 unable|cannot|can't|could_not|not ; unable|not_able|not_permitted|not_allowed|not_in_a_position to ~1 <do> ; we regret|are_sorry|cannot|can't|are_unable|decline ~~9 reply|answer|respond|help|comment|possible|provide|assist",
+    "kann|konnte|darf|mochte|werde ich|wir? ~6 nicht|keine ~~7 <dedo> ; ich kann|darf|mochte|konnte|weiss ~~10 nicht|keine ; geht|lasst_sich|ist ~4 nicht|keine ~~5 hervor|beantworten|angegeben|moglich|enthalten ; tut_mir_leid ; es_tut_mir ; bedaure",
+    "je ne? peux|puis|suis|sais|dispose|souhaite ~~4 pas|incapable ; desole|navre|regrette ~~10 pas|impossible ; impossible_de repondre|dire|determiner ; le|ce texte|passage|document|extrait ne ~3 pas",
+    "no puedo|podemos|me_es_posible|se|dispongo|tengo|estoy_en_condiciones ~~9 <esdo> ; lo_siento ; lamento ; disculpe ; el texto|pasaje|documento|fragmento no ~3 dice|indica|contiene|menciona",
 )
+_REFUSING = Machine([("refusal", 1.0, p.strip()) for group in REFUSALS for p in group.split(" ; ")], REFUSAL_CLASSES)
+_REFUSAL_TOKEN = re.compile(r"[a-z0-9]+(?:'[a-z]+)?|[.,;:!?]")
+
+
+def refuses(text: str) -> bool:
+    """Whether the refusal automaton reads a refusal in a folded text."""
+    return "refusal" in _REFUSING.run(_REFUSAL_TOKEN.findall(text.replace("’", "'")))
+
 
 # Words that only one of the languages uses often.
 STOPWORDS = {
@@ -88,6 +85,11 @@ _PREFACE = re.compile(r"^\W*(?:you asked|you ask|question|prompt|q|frage|vous de
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 
 
+def _words(folded: str) -> list[str]:
+    """Words and numbers of a folded text, numbers without separators of thousands."""
+    return [w.replace(",", "") if w[0].isdigit() else w for w in _WORD.findall(folded)]
+
+
 class SuffixAutomaton:
     """Automaton of all factors of a token list."""
 
@@ -193,13 +195,13 @@ def truncated(question: str, answer: str, context: str) -> bool:
         return False
     if not _balanced(text) or re.search(r"[,;:($€£&+/\-–—]$", text):
         return True
-    words = [w for w in _WORD.findall(fold(text))]
+    words = _words(fold(text))
     if not words:
         return False
     last = words[-1]
     if len(words) >= 3 and last in OPEN_ENDS and not last.isdigit():
         return True
-    source = _WORD.findall(fold(context)) + _WORD.findall(fold(question))
+    source = _words(fold(context)) + _words(fold(question))
     if len(words) >= 3 and source and last not in source:
         longer = {w for w in source if len(w) > len(last) and w.startswith(last)}
         before = words[-2]
@@ -215,7 +217,7 @@ def truncated(question: str, answer: str, context: str) -> bool:
 def _breaks_off(words: list[str], context: str) -> bool:
     """Whether the answer retells a sentence of the passage from its start and stops before its end."""
     for sentence in re.split(r"(?<=[.!?])\s+", unmark(context)):
-        own = _WORD.findall(fold(sentence))
+        own = _words(fold(sentence))
         if len(own) < 6 or sum(w in own for w in words) < 0.7 * len(words):
             continue
         heads = set(own[:6])
@@ -237,7 +239,7 @@ def defect(question: str | None, answer: str | None, context: str | None = None)
     if not bare or bare in PLACEHOLDERS:
         return "empty_answer"
     folded = fold(_PREFACE.sub("", plain)).replace("’", "'")
-    words, asked = _WORD.findall(folded), _WORD.findall(fold(question))
+    words, asked = _words(folded), _words(fold(question))
     if len(asked) >= 3 and len(words) >= 0.7 * len(asked):
         share = copied(asked, words)
         known = set(asked)
@@ -246,9 +248,9 @@ def defect(question: str | None, answer: str | None, context: str | None = None)
         spoilt = sum(any(_near(w, a) for a in known) for w in fresh) if len(fresh) <= len(words) // 2 and share > 0.3 else 0
         if (share + spoilt / len(words)) >= 0.8 and (copied(words, asked) >= 0.7 or len(fresh) == spoilt) and len(fresh) - spoilt <= max(1, len(words) // 8) and not any(w[0].isdigit() for w in fresh):
             return "copies_question"
-    if REFUSALS.search(fold(plain).replace("’", "'")):
+    if refuses(fold(plain)):
         own = {w for w in words if len(w) > 3 or w[0].isdigit()}
-        passage = set(_WORD.findall(fold(context)))
+        passage = set(_words(fold(context)))
         digits = [w for w in own if w[0].isdigit()]
         if not (digits and all(w in passage for w in digits) and len(own & passage) > 0.6 * len(own)):
             return "refusal"

@@ -50,3 +50,10 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "qa_id bigint, question string, answer string, context string").withColumn("defect", F.lit("x")).withColumn("key", F.lit("y"))
     assert {tuple(r) for r in find_defects(df, "qa_id", "question", "answer", "context").collect()} == {(1, "empty_answer"), (2, "empty_answer")}
     assert find_defects(df.where(F.lit(False)), "qa_id", "question", "answer").count() == 0
+
+
+def test_refusals_in_other_words_and_copies_in_other_number_format():
+    assert defect("What did X earn?", "I have no access to data on bonds and cannot respond.") == "refusal"
+    assert defect("Warum stieg der Absatz?", "Dazu kann ich leider keine Auskunft geben.") == "refusal"
+    assert defect("What was the purpose of buying Zan for $84,230,490?", "what was the purpose of buying zan for $84230490") == "copies_question"
+    assert defect("Does the text say so?", "The text says that sales rose.") is None
