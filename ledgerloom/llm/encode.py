@@ -1,10 +1,11 @@
 """Encoding of a corpus with a public tokenizer.
 
-Method: a distinct-word table.  Texts are split into words in the JVM by the tokenizer's own pattern; each
-distinct word is encoded once; ids come back by position.  Words of high count would make one task hot in a
-join by word, so the `frequent` most frequent ones (a bounded table) are joined by broadcast and only the
-rest by shuffle.  The tokenizer's file is a parameter and is read on each executor's machine or shipped
-with `SparkContext.addFile` by the caller.
+Method: a distinct-word table.  Texts are split into words in the JVM by the tokenizer's own pattern; each distinct
+word is encoded once; ids come back by position.  No word position ever becomes a row of its own: a document keeps its
+words in order, and what is joined is the distinct words that it has.  The `frequent` most frequent words are a bounded
+table that goes out by broadcast; a document with words beyond it gets theirs by a join of (document, distinct
+word) with the word table, in which no word is hot, as the frequent ones are out.  The tokenizer's file is a parameter
+and is read on each executor's machine or shipped with `SparkContext.addFile` by the caller.
 """
 
 from __future__ import annotations
@@ -47,37 +48,77 @@ def _encoded(words: DataFrame, ranks_path: str) -> DataFrame:
     return words.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, ids array<int>")
 
 
+#: Between the words of a text; texts that hold it are split by the encoder itself.
+_GAP = "\0"
+#: Longer words are never broadcast, so that the table of frequent words has a bound in bytes, too.
+_LONG = 64
+
+
 def _split(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, words) of texts that the JVM can split as the encoder does, and (key, text) of the others."""
+    """(key, words: the text with a mark between words) of texts that the JVM can split as the encoder does, and (key, text) of the others."""
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    unknown = F.col("text").rlike(r"[\p{Cn}\x{fffe}\x{ffff}]")
-    known = rows.where(~unknown).select("key", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("words"))
+    unknown = F.col("text").rlike(r"[\p{Cn}\x{fffe}\x{ffff}\x{0}]")
+    known = rows.where(~unknown).select("key", F.array_join(F.regexp_extract_all("text", F.lit(PATTERN), 0), _GAP).alias("words"))
     return known, rows.where(unknown)
 
 
+def _counted(split: DataFrame, ranks_path: str) -> DataFrame:
+    words = split.where("words <> ''").select(F.explode(F.split("words", r"\x00")).alias("word"))
+    return _encoded(words.groupBy("word").agg(F.count("*").alias("n")), ranks_path)
+
+
 def word_table(df: DataFrame, text: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """Distinct words of all texts: word, n (occurrences), ids (array<int>)."""
     known, _ = _split(df.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", "t")
-    return _encoded(known.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), ranks_path)
+    return _counted(known, ranks_path)
 
 
-def encode(df: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS, frequent: int = 20_000) -> DataFrame:
-    """One row (key, ids array<int>) for every row of `df`, whose key must be unique.
+def encode(df: DataFrame, key: str, text: str, ranks_path: str = DEFAULT_RANKS, frequent: int = 65_536) -> DataFrame:
+    """One row (key, ids array<int>) for every row of `df`, whose key must be unique (one null counts as a key).
 
     Null and empty texts get an empty list; a text of any length is encoded whole; an empty table gives an
     empty one; other columns play no part.  Decoding the ids gives the text's UTF-8 back, byte for byte.
     """
+    spark = df.sparkSession
     known, other = _split(df, key, text)
-    table = written(word_table(df, text, ranks_path))
-    top = table.orderBy(F.desc("n"), "word").limit(frequent).select("word", F.col("ids").alias("top_ids"))
-    spots = known.select("key", F.posexplode("words").alias("pos", "word")).join(F.broadcast(top), "word", "left")
-    hot = spots.where(F.col("top_ids").isNotNull()).select("key", "pos", F.col("top_ids").alias("ids"))
-    rest = table.join(F.broadcast(top.select("word")), "word", "left_anti").select("word", "ids")
-    rare = spots.where(F.col("top_ids").isNull()).select("key", "pos", "word").join(rest, "word").select("key", "pos", "ids")
-    spotted = hot.unionByName(rare).groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    blank = known.where(F.size("words") == 0).select("key", F.array().cast("array<int>").alias("ids"))
+    split = written(known)
+    table = written(_counted(split, ranks_path))
+    short = F.length("word") <= _LONG
+    top = table.where(short).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toPandas()  # at most `frequent` short words
+    shared = spark.sparkContext.broadcast(dict(zip(top["word"], map(tuple, top["ids"]), strict=True)))
+    kind = split.schema["key"].dataType.simpleString()
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for b in batches:
+            ids, rare = [], []
+            for t in b["words"]:
+                own = t.split(_GAP) if t else []
+                try:
+                    ids.append([i for w in own for i in held[w]])
+                    rare.append(None)
+                except KeyError:
+                    ids.append(None)
+                    rare.append(list({w for w in own if w not in held}))
+            yield pd.DataFrame({"key": b["key"], "ids": pd.Series(ids, dtype=object), "rare": pd.Series(rare, dtype=object)})
+
+    done = written(split.mapInPandas(first, f"key {kind}, ids array<int>, rare array<string>"))
+    found = done.where("ids is null").select("key", F.explode("rare").alias("word")).join(table.select("word", "ids"), "word")
+    own = found.groupBy("key").agg(F.collect_list("word").alias("rare"), F.collect_list("ids").alias("rare_ids")).withColumnRenamed("key", "k")  # the distinct words of one document
+    open_ = split.join(own, F.col("key").eqNullSafe(F.col("k"))).select("key", "words", "rare", "rare_ids")
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for b in batches:
+            ids = []
+            for t, ws, lists in zip(b["words"], b["rare"], b["rare_ids"], strict=True):
+                more = dict(zip(ws, lists, strict=True))
+                ids.append([int(i) for w in t.split(_GAP) for i in (held[w] if w in held else more[w])])
+            yield pd.DataFrame({"key": b["key"], "ids": pd.Series(ids, dtype=object)})
+
     whole = _encoded(other.select("key", F.col("text").alias("word")), ranks_path).select("key", "ids")
-    return spotted.unionByName(blank).unionByName(whole).withColumnRenamed("key", key)
+    out = done.where("ids is not null").select("key", "ids").unionByName(open_.mapInPandas(second, f"key {kind}, ids array<int>")).unionByName(whole)
+    return out.withColumnRenamed("key", key)
 
 
 def piece_table(spark, ranks_path: str = DEFAULT_RANKS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import abuse, encode, grouping, leaks, mixture, overlap, pairs, pieces, vectors
@@ -55,6 +55,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks"), "chunk_id", "text")
 
 
+@query
+def p3_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized text: its length as the pieces cover it, whether all fit the limit, and whether each begins within the one before."""
+    cut = pieces.split_oversized(table(spark, d, "chunks"), "chunk_id", "text")
+    last = Window.partitionBy("chunk_id").orderBy("piece_no")
+    cut = cut.withColumn("shared", F.lag(F.col("start") + F.col("n_chars")).over(last) - F.col("start"))
+    ends = F.max(F.col("start") + F.col("n_chars"))
+    return cut.groupBy("chunk_id").agg(ends.alias("chars"), (F.max("n_chars") <= 1500).alias("fits"), F.coalesce(F.bool_and(F.col("shared").between(1, 200)), F.lit(True)).alias("overlaps"))
+
+
+_BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL["p3_covered"] = f"SELECT chunk_id, length(t)::INT AS chars, true AS fits, true AS overlaps FROM (SELECT DISTINCT chunk_id, regexp_replace(text, '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS t FROM chunks) WHERE length(t) > 1500"
+SQL["p3_found"] = f"SELECT chunk_id FROM ({SQL['p3_covered']})"
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     near = vectors.most_similar(table(spark, d, "chunk_vectors"), "vector_id", "vector").where("cos >= 0.9")
@@ -105,6 +120,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return encode.decode(p8_ids(spark, d), "doc_id", "ids", encode.piece_table(spark))
+
+
+SQL["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
 @query
 def p9_draw(spark: SparkSession, d: str) -> DataFrame:
     return mixture.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))
