@@ -6,9 +6,9 @@ are placed, those with the rarest outstanding label first and the largest first
 that needs that label most.
 
 Scale: components are found on the graph of entities, never of records, by min-label propagation with
-pointer jumping and reliable checkpoints; hub entities are joined, not collected.  Placement is sequential by
-nature, so it runs on the groups of equal shape: groups with the same label counts are one row with a count,
-and are dealt out together in closed form.
+pointer jumping and reliable checkpoints; hub entities are joined, not collected (their joins are many rows to one, which
+the adaptive planner splits).  Placement is sequential by nature, so it runs on the groups of equal shape: groups with
+the same label counts are one row with a count, and are dealt out together in closed form.
 """
 
 from __future__ import annotations
@@ -95,17 +95,33 @@ def group_records(df: DataFrame, companies: DataFrame, key: str = "qa_id", ticke
     return out.select(F.col("key").alias(key), "company", "passage", F.coalesce("component", "node").alias("component"))
 
 
-def same_passage_apart(grouped: DataFrame, key: str = "qa_id") -> DataFrame:
+def same_passage_apart(grouped: DataFrame, key: str = "qa_id", block: int = 1000) -> DataFrame:
     """Distinct pairs (a, b), a < b, of records with the same passage whose tickers do not lead to the same company.
 
-    Passages all of whose records lead to one company are dropped before the join, so a hot passage of one company costs nothing.
+    `grouped` comes from `group_records`. Such a pair lies inside one component that holds more than one company or a record of none, so
+    all other components are set aside first. Inside, records of one passage and company are a class, kept as blocks of at most `block`
+    keys; blocks are paired, then spread over the tasks and written out, so a passage that a third of all records share is no single task.
+    Repeated keys make one pair; null keys and passages none.
     """
-    rows = grouped.select(F.col(key).alias("k"), "company", "passage").where("passage is not null")
-    mixed = rows.groupBy("passage").agg(F.min("company").alias("lo"), F.max("company").alias("hi"), F.count_if(F.col("company").isNull()).alias("none"), F.count("*").alias("n"))
-    mixed = mixed.where("n > 1 and (none > 0 or lo <> hi)").select("passage")
-    kept = rows.join(mixed, "passage", "left_semi")
-    a, b = kept.select("passage", F.col("k").alias("a"), F.col("company").alias("ca")), kept.select("passage", F.col("k").alias("b"), F.col("company").alias("cb"))
-    return a.join(b, "passage").where("a < b and not coalesce(ca = cb, false)").select("a", "b").distinct()
+    rows = grouped.select(F.col(key).alias("k"), "company", "passage", "component").where("passage is not null and k is not null")
+
+    def mixed(by: list[str]) -> DataFrame:
+        sides = rows.groupBy(*by).agg(F.min("company").alias("lo"), F.max("company").alias("hi"), F.count_if(F.col("company").isNull()).alias("none"), F.count("*").alias("n"))
+        return sides.where("n > 1 and (none > 0 or lo <> hi)").select(*by)
+
+    rows = written(rows.join(mixed(["component"]), "component", "left_semi").join(mixed(["component", "passage"]), ["component", "passage"], "left_semi"))
+    sizes = rows.groupBy("component", "passage", "company").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).toDF("c2", "p2", "w2", "parts")
+    same = (F.col("component") == F.col("c2")) & (F.col("passage") == F.col("p2")) & F.col("company").eqNullSafe(F.col("w2"))
+    parted = rows.join(sizes, same).select("component", "passage", "company", "k", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
+    blocks = written(parted.groupBy("component", "passage", "company", "part").agg(F.collect_set("k").alias("ks")))  # about `block` keys
+    names = ["company", "part", "ks"]
+    left = blocks.select("component", "passage", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = blocks.select("component", "passage", *(F.col(c).alias(f"{c}_b") for c in names))
+    first, second = (F.struct(F.coalesce(F.col(f"company_{x}"), F.lit("")), F.col(f"part_{x}")) for x in "ab")
+    apart = ~F.coalesce(F.col("company_a") == F.col("company_b"), F.lit(False))
+    met = left.join(right, ["component", "passage"]).where((first <= second) & apart).select("ks_a", "ks_b")
+    spread = met.repartition(F.xxhash64("ks_a", "ks_b")).select(F.explode("ks_a").alias("x"), "ks_b").select("x", F.explode("ks_b").alias("y"))
+    return spread.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _fill(needs: dict[str, float], step: float, n: int) -> dict[str, int]:
@@ -125,14 +141,15 @@ def _fill(needs: dict[str, float], step: float, n: int) -> dict[str, int]:
     return give
 
 
-def _deal(shapes: list[tuple], labels: list[str], wanted: dict[str, dict[str, float]]) -> list[tuple[int, str, int]]:
-    """Iterative stratification over (shape id, groups of this shape, counts by label): (shape id, split, groups placed there)."""
-    out: list[tuple[int, str, int]] = []
+def _deal(shapes: list[tuple], labels: list[str], wanted: dict[str, dict[str, float]]) -> list[tuple[str, str, int]]:
+    """Iterative stratification over (shape, groups of this shape, counts by label): (shape, split, groups placed there)."""
+    out: list[tuple[str, str, int]] = []
     left = {i: (n, dict(zip(labels, counts, strict=True))) for i, n, counts in shapes}
-    outstanding = {x: sum(n * c[x] for n, c in left.values()) for x in labels}
+    having = {x: {i for i, (_, c) in left.items() if c[x] > 0} for x in labels}
+    outstanding = {x: sum(left[i][0] * left[i][1][x] for i in having[x]) for x in labels}
     while left:
-        rare = min((x for x in labels if outstanding[x] > 0), key=lambda x: (outstanding[x], x))
-        for i in sorted((i for i in left if left[i][1][rare] > 0), key=lambda i: (-sum(left[i][1].values()), i)):
+        rare = min((x for x in labels if having[x]), key=lambda x: (outstanding[x], x))
+        for i in sorted(having[rare], key=lambda i: (-sum(left[i][1].values()), i)):
             n, counts = left.pop(i)
             for split, k in _fill({s: w[rare] for s, w in wanted.items()}, counts[rare], n).items():
                 for x in labels:
@@ -141,28 +158,36 @@ def _deal(shapes: list[tuple], labels: list[str], wanted: dict[str, dict[str, fl
                     out.append((i, split, k))
             for x in labels:
                 outstanding[x] -= n * counts[x]
+                having[x].discard(i)
     return out
 
 
-def stratified_split(grouped: DataFrame, labels: DataFrame, key: str = "qa_id", splits: tuple = SPLITS, most_labels: int = 64, most_shapes: int = 200_000) -> DataFrame:
-    """(key, component, split) for every record of `grouped`; no component is parted.
+def stratified_split(grouped: DataFrame, labels: DataFrame, key: str = "qa_id", splits: tuple = SPLITS, most_labels: int = 64, most_shapes: int = 20_000) -> DataFrame:
+    """(key, component, split) for every record of `grouped`; no component is parted and no record left out.
 
-    `labels` has key and label (null is a label too); at most `most_labels` distinct ones, else ValueError. To the driver goes one row
-    for each distinct vector of label counts, at most `most_shapes` (beyond it, ValueError), never one for each group or record.
-    A component larger than a split's share goes to train. Ties fall by the hash of the component, so the result is stable.
+    `labels` has key and label (null, and a record without a row, are a label too). Labels beyond the `most_labels` most frequent ones
+    are balanced together, as one. To the driver goes one row for each distinct vector of label counts, never one for each group or
+    record; the `most_shapes` heaviest vectors stand for themselves, all lighter groups are dealt out together by their rarest label, with
+    the mean of their counts. A component larger than a split's share goes to train. Ties fall by the hash of the component, so
+    the result is stable.
     """
-    names = [r[0] for r in labels.select(F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("l")).distinct().limit(most_labels + 1).collect()]
-    if len(names) > most_labels:
-        raise ValueError(f"more than {most_labels} labels")
-    names.sort()
-    tagged = grouped.select(key, "component").join(labels.select(key, F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("l")), key)
-    sizes = tagged.groupBy("component").agg(*(F.count_if(F.col("l") == x).alias(f"n{k}") for k, x in enumerate(names)))
+    label = F.coalesce(F.col("label").cast("string"), F.lit("none"))
+    tagged = grouped.select(key, "component").join(labels.select(key, F.col("label")).dropDuplicates([key]), key, "left").select("component", label.alias("l"))
+    frequent = [r["l"] for r in tagged.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_labels + 1).collect()]
+    kept = sorted(frequent[:most_labels]) or ["none"]
+    names = kept + (["\0rest"] if len(frequent) > most_labels else [])
+    counts = [F.count_if(F.col("l") == x) for x in kept] + ([F.count_if(~F.col("l").isin(kept))] if len(names) > len(kept) else [])
+    sizes = tagged.groupBy("component").agg(*(c.alias(f"n{k}") for k, c in enumerate(counts)))
     vector = F.array(*(F.col(f"n{k}") for k in range(len(names))))
-    sizes = written(sizes.select("component", vector.alias("counts")).withColumn("shape", F.xxhash64("counts")))
-    shapes = sizes.groupBy("shape").agg(F.first("counts").alias("counts"), F.count("*").alias("n"))
-    rows = shapes.limit(most_shapes + 1).collect()
-    if len(rows) > most_shapes:
-        raise ValueError(f"more than {most_shapes} shapes of groups")
+    sizes = sizes.select("component", vector.alias("counts")).withColumn("own", F.concat_ws(",", F.col("counts").cast("array<string>")))
+    sizes = written(sizes.withColumn("weight", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    heavy = sizes.groupBy("own").agg(F.first("weight").alias("w")).orderBy(F.desc("w"), "own").limit(most_shapes).select("own", F.lit(True).alias("heavy"))
+    order = sizes.agg(*(F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(len(names)))).first()
+    rarity = sorted(range(len(names)), key=lambda k: (order[k] or 0, names[k]))
+    rarest = F.coalesce(*(F.when(F.col("counts")[k] > 0, F.lit(f"~{k}")) for k in rarity), F.lit("~"))
+    sizes = written(sizes.join(F.broadcast(heavy), "own", "left").select("component", "counts", F.when(F.col("heavy"), F.col("own")).otherwise(rarest).alias("shape")))  # at most `most_shapes`
+    means = [F.avg(F.col("counts")[k]).alias(f"n{k}") for k in range(len(names))]
+    rows = [{"shape": r["shape"], "n": r["n"], "counts": list(r[2:])} for r in sizes.groupBy("shape").agg(F.count("*").alias("n"), *means).collect()]
     whole = [sum(r["n"] * r["counts"][k] for r in rows) for k in range(len(names))]
     wanted = {s: {x: share * whole[k] for k, x in enumerate(names)} for s, share in splits}
     dealt = _deal([(r["shape"], r["n"], r["counts"]) for r in rows], names, wanted)
@@ -171,7 +196,7 @@ def stratified_split(grouped: DataFrame, labels: DataFrame, key: str = "qa_id",
     for shape, split, n in dealt:
         plan.append((shape, split, at.get(shape, 0), at.get(shape, 0) + n))
         at[shape] = at.get(shape, 0) + n
-    table = spark.createDataFrame(plan, "shape bigint, split string, lo bigint, hi bigint")
+    table = spark.createDataFrame(plan, "shape string, split string, lo bigint, hi bigint")
     # ranks inside a shape: by bins of a hash, so that a shape with very many groups is no single task
     binned = sizes.select("component", "shape", F.pmod(F.xxhash64("component"), F.lit(BINS)).alias("bin"))
     bins = binned.groupBy("shape", "bin").agg(F.count("*").alias("c"))

@@ -62,5 +62,22 @@ def test_split_parts_no_group_and_meets_shares(spark):
         assert abs(r["share"] - r["target"]) < 0.02
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in grouping.stratified_split(df.repartition(7), labels).collect()}
     assert grouping.stratified_split(df.where(F.lit(False)), labels).count() == 0
-    with pytest.raises(ValueError):
-        grouping.stratified_split(df, df.select("qa_id", F.col("qa_id").alias("label")))
+
+
+def test_more_labels_and_shapes_than_stand_for_themselves(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(k, f"g{rng.randrange(400)}") for k in range(4000)], "qa_id bigint, component string")
+    labels = df.where("qa_id % 10 <> 0").select("qa_id", F.when(F.col("qa_id") % 2 == 0, F.lit("even")).otherwise(F.col("qa_id").cast("string")).alias("label"))
+    out = grouping.stratified_split(df, labels, most_labels=4, most_shapes=15)
+    assert out.count() == 4000 and out.groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    for r in grouping.split_shares(out).collect():
+        assert abs(r["share"] - r["target"]) < 0.03
+
+
+def test_pairs_of_a_hot_passage_in_small_blocks(spark):
+    rows = [(k, [None, "A", "B"][k % 3], "p", "c") for k in range(60)] + [(k, "A", "q", "d") for k in range(100, 130)] + [(7, "A", "p", "c"), (None, "A", "p", "c"), (200, None, None, "r")]
+    df = spark.createDataFrame(rows, "qa_id bigint, company string, passage string, component string")
+    company = {k: [None, "A", "B"][k % 3] for k in range(60)}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if company[a] != company[b] or company[a] is None}
+    got = [tuple(r) for r in grouping.same_passage_apart(df, block=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
