@@ -6,9 +6,10 @@ product with a cell's vectors is estimated from its 4-bit planes and the packed
 an error bound tells which vectors can still be among the k best, and only those are scored exactly.
 
 Scale: cells hold about `per_cell` vectors whatever the size of the collection, each query visits `probes`
-cells, so the work is linear.  Exact copies are searched once.  A cell that grows hot (many near vectors) is
-cut into blocks of vectors and of queries, so no task holds it whole.  Centres are fitted on a sample of at
-most `sample` vectors, the only thing that goes to the driver; every vector is indexed.
+cells, so the work is linear.  Up to MOST_CELLS cells have centres fitted on one sample of at most `sample` vectors, the
+only vectors that go to the driver; a larger collection gets cells inside these cells, fitted and assigned where
+the cell's members are.  Exact copies are searched once.  A cell that grows hot (many near vectors) is cut into
+blocks of vectors and of queries, so no task holds it whole.  Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.persist import written
 
 BLOCK = 4096
 QUERIES = 32768
+#: Cells of the first level, and how many of them a query is followed into where there is a second one.
+MOST_CELLS, FOLLOWED = 2500, 8
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 2.2
 
@@ -142,12 +145,54 @@ def _search(qid: np.ndarray, q: np.ndarray, did: np.ndarray, x: np.ndarray, cent
     return ids, cos
 
 
-def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, sample: int, seed: int) -> DataFrame:
+def _parts(cell: Column, counted: DataFrame, limit: int, name: str) -> DataFrame:
+    """(cell, name): in how many blocks of `limit` rows a hot cell is cut. Cells within the limit have no row, so the table is small."""
+    return counted.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cell", F.ceil(F.col("n") / limit).cast("int").alias(name))
+
+
+def _inner_cells(placed: DataFrame, dim: int, probes: int, per_cell: int, sample: int, seed: int) -> DataFrame:
+    """`placed` with cells inside the first level's cells: home first, then the nearest others.
+
+    Each first cell gets a centre for every `per_cell` of its members, fitted on a share of them drawn by hash; a vector is compared with
+    the inner centres of its FOLLOWED nearest first cells, in blocks.
+    """
+    home = F.col("cells")[0]
+    sizes = placed.groupBy(home.alias("cell")).agg(F.count("*").alias("n"))  # MOST_CELLS rows at most
+    sizes = sizes.withColumn("s", F.ceil(F.col("n") / per_cell).cast("int")).withColumn("share", F.least(F.lit(1.0), F.least(24 * F.col("s"), F.lit(sample)) / F.col("n")))
+    drawn = placed.select("id", "x", home.alias("cell")).join(F.broadcast(sizes), "cell").where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(group["x"], dim)
+        c = centres(x, int(max(1, min(group["s"].iloc[0], len(x) // 8))), seed)
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "c": [c.astype(np.float32).tobytes()]})
+
+    inner = written(drawn.select("cell", "x", "s").groupBy("cell").applyInPandas(fit, "cell int, c binary"))
+    asks = placed.select("id", "x", F.posexplode(F.slice("cells", 1, FOLLOWED)).alias("pos", "cell"))
+    parts = F.broadcast(_parts(F.col("cell"), asks, QUERIES, "parts"))
+    asks = asks.join(parts, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    held = inner.join(parts, "cell", "left").select(F.col("cell").alias("icell"), "c", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("ipart"))
+
+    def follow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "x": pd.Series([], dtype=object), "near": pd.Series([], dtype=object)})
+        c, x = np.frombuffer(right["c"].iloc[0], np.float32).reshape(-1, dim), _matrix(left["x"], dim)
+        top = nearest(x, c, min(probes, len(c)))
+        base = int(left["cell"].iloc[0]) << 20
+        near = [[(float(-v @ c[j]), base + int(j)) for j in t] for v, t in zip(x, top, strict=True)]
+        return pd.DataFrame({"id": left["id"], "x": [b if p == 0 else None for b, p in zip(left["x"], left["pos"], strict=True)], "near": pd.Series(near, dtype=object)})
+
+    near = asks.select("id", "x", "pos", "cell", "part").groupBy("cell", "part").cogroup(held.groupBy("icell", "ipart")).applyInPandas(follow, "id bigint, x binary, near array<struct<far: double, cell: bigint>>")
+    best = near.groupBy("id").agg(F.max("x").alias("x"), F.max(F.when(F.col("x").isNotNull(), F.struct("id", "near"))).alias("h"), F.flatten(F.collect_list("near")).alias("all"))  # FOLLOWED x probes at most
+    order = F.transform(F.slice(F.array_sort("all"), 1, probes), lambda s: s["cell"])
+    return written(best.select("id", "x", F.slice(F.array_distinct(F.concat(F.array(F.col("h.near")[0]["cell"]), order)), 1, probes).alias("cells")))
+
+
+def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, sample: int, seed: int, most_cells: int = MOST_CELLS) -> DataFrame:
     """(id, near array<bigint>, cos array<double>): for each rep (id, v), its k best among the other reps."""
     spark = reps.sparkSession
     rows = reps.count()
     drawn = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-    cells = int(max(1, min(rows // per_cell, len(drawn) // 8)))
+    cells = int(max(1, min(rows // per_cell, len(drawn) // 8, most_cells)))
     fit = np.stack(drawn.to_numpy()).astype(np.float32) if len(drawn) else np.zeros((1, dim), np.float32)
     c = centres(fit, cells, seed)
     turn = rotation(dim, seed)
@@ -158,22 +203,25 @@ def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, s
         for b in batches:
             x = np.stack(b["v"].to_numpy()).astype(np.float32) if len(b) else np.zeros((0, dim), np.float32)
             near = nearest(x, own, min(probes, len(own)))
-            yield pd.DataFrame({"id": b["id"], "x": [r.tobytes() for r in x], "cells": list(near.astype(np.int32))})
+            yield pd.DataFrame({"id": b["id"], "x": pd.Series([r.tobytes() for r in x], dtype=object), "cells": pd.Series(list(near.astype(np.int32)), dtype=object)})
 
     placed = written(reps.mapInPandas(assign, "id bigint, x binary, cells array<int>"))
-    home = F.col("cells")[0]
-    sizes = placed.groupBy(home.alias("cell")).agg(F.count("*").alias("n"))
-    asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
-    blocks = F.broadcast(asked.join(sizes, "cell", "left").select("cell", F.ceil(F.coalesce("n", F.lit(0)) / BLOCK).cast("int").alias("db"), F.ceil(F.col("m") / QUERIES).cast("int").alias("qb")))  # one row a cell
-    data = placed.select("id", "x", home.alias("cell")).join(blocks, "cell").select("id", "x", "cell", F.pmod(F.xxhash64("id"), F.col("db")).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"))
-    asks = placed.select("id", "x", F.explode("cells").alias("cell")).join(blocks.where("db > 0"), "cell").select("id", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("db") - 1)).alias("d"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("q"))
+    if rows // per_cell > 2 * cells:
+        placed = _inner_cells(placed, dim, probes, per_cell, sample, seed)
+    data = placed.select("id", "x", F.col("cells")[0].alias("cell"))
+    asks = placed.select("id", "x", F.explode("cells").alias("cell"))
+    hot_data, hot_asks = F.broadcast(_parts(F.col("cell"), data, BLOCK, "db")), F.broadcast(_parts(F.col("cell"), asks, QUERIES, "qb"))  # one row a hot cell
+    db, qb = F.coalesce("db", F.lit(1)), F.coalesce("qb", F.lit(1))
+    data = data.join(hot_data, "cell", "left").join(hot_asks, "cell", "left").select("id", "x", "cell", F.pmod(F.xxhash64("id"), db).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"))
+    asks = asks.join(hot_data, "cell", "left").join(hot_asks, "cell", "left").select("id", "x", "cell", F.explode(F.sequence(F.lit(0), db - 1)).alias("d"), F.pmod(F.xxhash64("id"), qb).cast("int").alias("q"))
 
-    def scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "near": [], "cos": []})
-        own, t = shared.value
-        near, cos = _search(left["id"].to_numpy(), _matrix(left["x"], dim), right["did"].to_numpy(), _matrix(right["y"], dim), own[key[0]], t, k)
-        return pd.DataFrame({"id": left["id"], "near": near, "cos": cos})
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object), "cos": pd.Series([], dtype=object)})
+        _, t = shared.value
+        x = _matrix(right["y"], dim)
+        near, cos = _search(left["id"].to_numpy(), _matrix(left["x"], dim), right["did"].to_numpy(), x, x.mean(0), t, k)
+        return pd.DataFrame({"id": left["id"], "near": pd.Series(near, dtype=object), "cos": pd.Series(cos, dtype=object)})
 
     data = data.toDF("did", "y", "dcell", "dd", "dq")
     found = asks.groupBy("cell", "d", "q").cogroup(data.groupBy("dcell", "dd", "dq")).applyInPandas(scan, "id bigint, near array<bigint>, cos array<double>")
@@ -182,7 +230,7 @@ def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, s
     return best.select("id", F.col("top.near").alias("near"), F.transform("top", lambda s: -s["far"]).alias("cos"))
 
 
-def most_similar(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, probes: int = 20, per_cell: int = 400, sample: int = 20_000, seed: int = 5) -> DataFrame:
+def most_similar(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, probes: int = 20, per_cell: int = 400, sample: int = 20_000, seed: int = 5, most_cells: int = MOST_CELLS) -> DataFrame:
     """(id bigint, near bigint, cos double, rank int): for each usable vector its k most similar others.
 
     Ties go to the smaller id, so copies are neighbours of one another by id.  Null, empty, all-zero, not finite
@@ -194,7 +242,7 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64
     firsts = vectors.withColumn("n", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("n") <= k + 1)
     groups = written(firsts.groupBy("h", "g").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")))  # at most k + 1 ids
     reps = groups.select(F.col("ids")[0].alias("id"), "v")
-    found = _search_all(reps, dim, k, probes, per_cell, sample, seed)
+    found = _search_all(reps, dim, k, probes, per_cell, sample, seed, most_cells)
     lists = groups.select(F.col("ids")[0].alias("rep"), "ids", "h", "g")
     pairs = found.select("id", F.posexplode(F.arrays_zip("near", "cos")).alias("p", "s")).select("id", F.col("s.near").alias("rep"), F.col("s.cos").alias("cos"))
     # neighbours of a rep: members of the neighbouring groups, each group at most k + 1
