@@ -98,18 +98,16 @@ def group_records(df: DataFrame, companies: DataFrame, key: str = "qa_id", ticke
 def same_passage_apart(grouped: DataFrame, key: str = "qa_id", block: int = 1000) -> DataFrame:
     """Distinct pairs (a, b), a < b, of records with the same passage whose tickers do not lead to the same company.
 
-    `grouped` comes from `group_records`. Such a pair lies inside one component that holds more than one company or a record of none, so
-    all other components are set aside first. Inside, records of one passage and company are a class, kept as blocks of at most `block`
-    keys; blocks are paired, then spread over the tasks and written out, so a passage that a third of all records share is no single task.
+    `grouped` comes from `group_records`. Such a pair lies inside one component, so the work is keyed by component and passage; passages
+    all of whose records lead to one company are set aside first. Records of one passage and company are a class, kept as blocks of at
+    most `block` keys; blocks are paired, then spread over the tasks and written out, so a passage that a third of all records share is no single task.
     Repeated keys make one pair; null keys and passages none.
     """
     rows = grouped.select(F.col(key).alias("k"), "company", "passage", "component").where("passage is not null and k is not null")
 
-    def mixed(by: list[str]) -> DataFrame:
-        sides = rows.groupBy(*by).agg(F.min("company").alias("lo"), F.max("company").alias("hi"), F.count_if(F.col("company").isNull()).alias("none"), F.count("*").alias("n"))
-        return sides.where("n > 1 and (none > 0 or lo <> hi)").select(*by)
-
-    rows = written(rows.join(mixed(["component"]), "component", "left_semi").join(mixed(["component", "passage"]), ["component", "passage"], "left_semi"))
+    sides = rows.groupBy("component", "passage").agg(F.min("company").alias("lo"), F.max("company").alias("hi"), F.count_if(F.col("company").isNull()).alias("none"), F.count("*").alias("n"))
+    mixed = sides.where("n > 1 and (none > 0 or lo <> hi)").select("component", "passage")
+    rows = written(rows.join(mixed, ["component", "passage"], "left_semi"))
     sizes = rows.groupBy("component", "passage", "company").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).toDF("c2", "p2", "w2", "parts")
     same = (F.col("component") == F.col("c2")) & (F.col("passage") == F.col("p2")) & F.col("company").eqNullSafe(F.col("w2"))
     parted = rows.join(sizes, same).select("component", "passage", "company", "k", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
