@@ -14,6 +14,7 @@ blocks of vectors and of queries, so no task holds it whole.  Every vector is in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,20 @@ EPSILON = 2.2
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, v array<float> of unit length) of the vectors with `dim` finite numbers that are not all zero."""
-    v = F.col("v")
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & (F.size(v) == dim))
-    rows = rows.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    most = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
-    rows = rows.withColumn("v", F.transform(v, lambda x: x.cast("double") / most))  # no overflow in squares
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("id", F.transform(v, lambda x: (x / norm).cast("float")).alias("v"))
+    """(id bigint, x binary: float32 of unit length, h binary: the same for equal directions to six digits) of the vectors with `dim` finite numbers that are not all zero."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~F.array_contains(F.transform("v", lambda e: e.isNull()), True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack(b["v"].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, dim))
+            most = np.abs(x).max(1)
+            good = np.isfinite(most) & (most > 0)  # a NaN anywhere makes the maximum one
+            x = x[good] / most[good, None]  # no overflow in squares
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            alike = np.round(x.astype(np.float64), 6) + 0.0
+            yield pd.DataFrame({"id": b["id"].to_numpy()[good], "x": pd.Series([r.tobytes() for r in x], dtype=object), "h": pd.Series([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in alike], dtype=object)})
+
+    return rows.mapInPandas(run, "id bigint, x binary, h binary")
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -188,12 +195,12 @@ def _inner_cells(placed: DataFrame, dim: int, probes: int, per_cell: int, sample
 
 
 def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, sample: int, seed: int, most_cells: int = MOST_CELLS) -> DataFrame:
-    """(id, near array<bigint>, cos array<double>): for each rep (id, v), its k best among the other reps."""
+    """(id, near array<bigint>, cos array<double>): for each rep (id, x), its k best among the other reps."""
     spark = reps.sparkSession
     rows = reps.count()
-    drawn = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    drawn = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toPandas()["x"]
     cells = int(max(1, min(rows // per_cell, len(drawn) // 8, most_cells)))
-    fit = np.stack(drawn.to_numpy()).astype(np.float32) if len(drawn) else np.zeros((1, dim), np.float32)
+    fit = _matrix(drawn, dim) if len(drawn) else np.zeros((1, dim), np.float32)
     c = centres(fit, cells, seed)
     turn = rotation(dim, seed)
     shared = spark.sparkContext.broadcast((c, turn))
@@ -201,9 +208,8 @@ def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, s
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, _ = shared.value
         for b in batches:
-            x = np.stack(b["v"].to_numpy()).astype(np.float32) if len(b) else np.zeros((0, dim), np.float32)
-            near = nearest(x, own, min(probes, len(own)))
-            yield pd.DataFrame({"id": b["id"], "x": pd.Series([r.tobytes() for r in x], dtype=object), "cells": pd.Series(list(near.astype(np.int32)), dtype=object)})
+            near = nearest(_matrix(b["x"], dim), own, min(probes, len(own)))
+            yield b[["id", "x"]].assign(cells=pd.Series(list(near.astype(np.int32)), dtype=object, index=b.index))
 
     placed = written(reps.mapInPandas(assign, "id bigint, x binary, cells array<int>"))
     if rows // per_cell > 2 * cells:
@@ -237,20 +243,19 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64
     and wrongly long vectors take no part, nor do null keys; a vector's length does not matter; keys must be unique bigints.
     With fewer than k others a vector has as many neighbours as there are; an empty table gives no row.
     """
-    vectors = usable(df, key, vector, dim).withColumn("h", F.transform("v", lambda x: F.round(x.cast("double"), 6) + F.lit(0.0)))
-    vectors = written(vectors.select("id", "v", F.xxhash64("h").alias("h"), F.hash("h").alias("g")))
-    firsts = vectors.withColumn("n", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("n") <= k + 1)
-    groups = written(firsts.groupBy("h", "g").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")))  # at most k + 1 ids
-    reps = groups.select(F.col("ids")[0].alias("id"), "v")
+    vectors = written(usable(df, key, vector, dim))
+    firsts = vectors.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= k + 1)
+    groups = written(firsts.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("x", "id").alias("x")))  # at most k + 1 ids
+    reps = groups.select(F.col("ids")[0].alias("id"), "x")
     found = _search_all(reps, dim, k, probes, per_cell, sample, seed, most_cells)
-    lists = groups.select(F.col("ids")[0].alias("rep"), "ids", "h", "g")
+    lists = groups.select(F.col("ids")[0].alias("rep"), "ids", "h")
     pairs = found.select("id", F.posexplode(F.arrays_zip("near", "cos")).alias("p", "s")).select("id", F.col("s.near").alias("rep"), F.col("s.cos").alias("cos"))
     # neighbours of a rep: members of the neighbouring groups, each group at most k + 1
     around = pairs.join(lists.select("rep", "ids"), "rep").select(F.col("id").alias("rep"), "cos", F.explode("ids").alias("near"))
     around = around.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("far"), "near"))), 1, k).alias("around"))
-    whole = lists.join(around, "rep", "left").select("h", "g", "ids", F.coalesce("around", F.array().cast("array<struct<far:double,near:bigint>>")).alias("around"))
+    whole = lists.join(around, "rep", "left").select("h", "ids", F.coalesce("around", F.array().cast("array<struct<far:double,near:bigint>>")).alias("around"))
     own = F.transform(F.filter("ids", lambda i: i != F.col("id")), lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("near")))
-    out = vectors.select("id", "h", "g").join(whole, ["h", "g"]).select("id", F.slice(F.concat(own, "around"), 1, k).alias("top"))
+    out = vectors.select("id", "h").join(whole, "h").select("id", F.slice(F.concat(own, "around"), 1, k).alias("top"))
     return out.select("id", F.posexplode("top").alias("p", "s")).select("id", F.col("s.near").alias("near"), (-F.col("s.far")).alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
@@ -259,8 +264,8 @@ def exact_neighbours(queries: DataFrame, df: DataFrame, key: str, vector: str, k
 
     The query set goes to the executors in blocks of at most 8,192, so it may be of any size.
     """
-    q = usable(queries, key, vector, dim)
-    x = usable(df, key, vector, dim)
+    q = usable(queries, key, vector, dim).select("id", "x")
+    x = usable(df, key, vector, dim).select("id", "x")
     n = q.count()
     asks = q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // 8192)))).cast("int"))
     parts = max(1, x.sparkSession.sparkContext.defaultParallelism * 2)
@@ -270,7 +275,7 @@ def exact_neighbours(queries: DataFrame, df: DataFrame, key: str, vector: str, k
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "near": pd.Series([], dtype="int64"), "cos": pd.Series([], dtype="float64")})
-        a, b = np.stack(left["v"].to_numpy()).astype(np.float32), np.stack(right["w"].to_numpy()).astype(np.float32)
+        a, b = _matrix(left["x"], dim), _matrix(right["w"], dim)
         ids, found = right["did"].to_numpy(), []
         for at in range(0, len(a), 512):
             s = a[at : at + 512] @ b.T
