@@ -79,6 +79,19 @@ def deltas(rows: DataFrame, base: str) -> DataFrame:
     return rows.join(b, "key", "left").select("run", "key", "value", F.coalesce("base_value", F.lit(0.0)).alias("base_value"), F.round(F.col("value") - F.coalesce("base_value", F.lit(0.0)), 6).alias("delta"))
 
 
+def comparison(rows: DataFrame, runs: list[str]) -> DataFrame:
+    """A table of metrics, one row for each key and a column for each run, with the last run's gain over the first (null where one has none)."""
+    wide = rows.where(F.col("run").isin(runs)).groupBy("key").pivot("run", runs).agg(F.first("value"))
+    return wide.withColumn("gain", F.round(F.col(f"`{runs[-1]}`") - F.col(f"`{runs[0]}`"), 6))
+
+
+def printed(table: DataFrame, width: int = 14) -> DataFrame:
+    """(line) of a comparison table as text of fixed width, the name to the left, numbers with four digits to the right."""
+    first, *others = table.columns
+    cells = [F.lpad(F.coalesce(F.format_string("%.4f", F.col(f"`{c}`").cast("double")), F.lit("-")), width, " ") for c in others]
+    return table.select(F.concat(F.rpad(F.col(f"`{first}`"), 2 * width, " "), *cells).alias("line"))
+
+
 def progress(judged: DataFrame, every: int = 20) -> DataFrame:
     """(n, hr1, mrr) running over the questions in order of qid, at each multiple of `every` and at the end. A question set is small; it is one window."""
     upto = Window.orderBy("qid").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process wrote and nobody has removed yet.
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all tables that `written` made, once the results that read them are out; how many. Call it when a query has ended."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    n = len(_MADE)
+    while _MADE:
+        path = hadoop(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _MADE and spark is not None:
+        try:
+            clear(spark)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder of spark.checkpoint.dir; only where that is unset and the master is local, a temporary one of this machine."""
     context = spark.sparkContext
@@ -33,4 +58,5 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder: columnar, so later reads prune columns and push filters down."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import prompts, text
-from ledgerloom.operators import answer, bm25, chunking, dataset, dense, embed, evaluate, fusion, heldout, html, search, service
+from ledgerloom.operators import answer, bm25, chunking, dataset, dense, embed, evaluate, fusion, heldout, html, search, service, transformer
 from ledgerloom.operators.units import extract_measures, resolve_units
-from ledgerloom.plans.persist import shared_folder
+from ledgerloom.plans.persist import shared_folder, written
 from ledgerloom.sources import filings, sinks
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import ingest
@@ -265,6 +267,34 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(v.where("model = 'enc_small_v1'"), v.where("vector_id % 50 = 0"), 5, "vector_id", "vector", "vector_id").select("qid", "id", F.round("score", 5).alias("score"), "rank")
 
 
+@query(f"""WITH {_CORPUS}, {_VECTORS}, cv2 AS (SELECT chunk_id AS id, arg_min(v, id) AS v, arg_min(n, id) AS n FROM (SELECT vs.*, c.chunk_id FROM vs JOIN chunk_vectors c ON c.vector_id = vs.id WHERE c.chunk_id IS NOT NULL) GROUP BY ALL),
+  qv2 AS (SELECT vs.id AS qid, vs.v, vs.n FROM vs JOIN chunk_vectors c ON c.vector_id = vs.id JOIN corpus USING (chunk_id) WHERE vs.id % 50 = 0 AND {_strip("text")} <> '')
+  SELECT qid, cv2.id, round(list_inner_product(cv2.v, qv2.v) / (cv2.n * qv2.n), 5) AS score, ticker, fiscal_year, section, row_number() OVER (PARTITION BY qid ORDER BY round(list_inner_product(cv2.v, qv2.v) / (cv2.n * qv2.n), 9) DESC, cv2.id) AS rank FROM cv2 JOIN corpus ON cv2.id = corpus.chunk_id, qv2 WHERE section = 'item_7' AND fiscal_year = 2023 QUALIFY rank <= 5""")
+def dense_retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.retrieve(corpus(spark, d), text_queries(spark, d), chunk_vectors(spark, d), section=" Item_7", fiscal_year=2023)
+    return hits.select("qid", "id", F.round("score", 5).alias("score"), "ticker", "fiscal_year", "section", "rank")
+
+
+@query(f"""WITH {_CORPUS}, v AS (SELECT chunk_id, arg_min(v, vector_id) AS v FROM (SELECT vector_id, chunk_id, vector::DOUBLE[] AS v FROM chunk_vectors) WHERE {_USABLE} AND chunk_id IS NOT NULL GROUP BY chunk_id) SELECT chunk_id, ticker, section, len(v)::INT AS dims FROM v JOIN corpus USING (chunk_id)""")
+def attached_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v, c = chunk_vectors(spark, d), corpus(spark, d)
+    both = dense.attach(v.join(c.select("chunk_id"), "chunk_id", "left_semi"), c.join(v.select("chunk_id"), "chunk_id", "left_semi"))
+    return both.select("chunk_id", "ticker", "section", F.size("vector").alias("dims"))
+
+
+@query(f"""WITH v AS (SELECT vector_id, v FROM (SELECT vector_id, vector::DOUBLE[] AS v FROM chunk_vectors) WHERE {_USABLE}), m AS (SELECT *, list_avg(v) AS a, sqrt(list_avg(list_transform(v, lambda x: (x - list_avg(v)) ** 2)) + 1e-12) AS s, list_max(v) AS t FROM v)
+  SELECT vector_id, round(list_max(list_transform(v, lambda x: (x - a) / s * 2 + 1)), 4) AS normed, round(list_sum(list_transform(v, lambda x: 0.5 * x * (1 + (2 / (1 + exp(-2 * sqrt(2 / pi()) * (x + 0.044715 * x ** 3))) - 1)))), 4) AS activated, round(1 / list_sum(list_transform(v, lambda x: exp(x - t))), 4) AS attended FROM m""")
+def tensor_kernels(spark: SparkSession, d: str) -> DataFrame:
+    """Layer norm (scale 2, shift 1), activation and softmax of the encoder, over all usable vectors."""
+
+    def run(batches):
+        for b in batches:
+            x = np.stack(b["vector"].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, 64))
+            yield pd.DataFrame({"vector_id": b["vector_id"], "normed": transformer.layer_norm(x, np.float64(2), np.float64(1)).max(1).round(4), "activated": transformer.gelu(x).sum(1).round(4), "attended": transformer.softmax(x).max(1).round(4)})
+
+    return usable_vectors(spark, d).select("vector_id", "vector").mapInPandas(run, "vector_id bigint, normed double, activated double, attended double")
+
+
 @query(f"""WITH v AS (SELECT chunk_id, sqrt(list_inner_product(v, v)) AS n FROM (SELECT chunk_id, vector::DOUBLE[] AS v FROM chunk_vectors) WHERE {_USABLE} AND chunk_id IS NOT NULL), c AS (SELECT DISTINCT chunk_id FROM chunks)
   SELECT count(*) AS vectors, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm, round(avg(n), 6) AS avg_norm, bool_and(abs(n - 1) <= 1e-4) AS unit, (SELECT count(*) FROM c) AS chunks, (SELECT count(DISTINCT chunk_id) FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM c)) AS without_chunk, (SELECT count(*) FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM v)) AS without_vector FROM v""")
 def vector_check(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +326,7 @@ def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_hits(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    return search.retrieve(corpus(spark, d), questions(spark, d), k=k, mode="bm25").withColumn("score", F.round("score", 6))
+    return written(search.retrieve(corpus(spark, d), questions(spark, d), k=k, mode="bm25").withColumn("score", F.round("score", 6)))
 
 
 _HITS = f"WITH {_CORPUS}, {_QUESTIONS}, {_ALL}, {_BM25}, hits AS (SELECT qid, r.id, round(score, 6) AS score, rank, ticker, fiscal_year, section, text, token_count_est AS token_count FROM ranked r JOIN corpus ON chunk_id = r.id WHERE rank <= 5)"
@@ -403,10 +433,25 @@ def _run(name: str, hits: str) -> str:
   SELECT r.*, b.value AS base_value, round(r.value - b.value, 6) AS delta FROM runs r JOIN runs b ON b.run = 'naive' AND b.key = r.key""")
 def pipeline_delta(spark: SparkSession, d: str) -> DataFrame:
     benchmark = evaluate.convert_benchmark(table(spark, d, "benchmark_questions"))
-    flat = corpus(spark, d).withColumn("section", text.guess_section(F.col("text")))
-    runs = {"bm25": _bm25_hits(spark, d), "naive": search.retrieve(flat, questions(spark, d), mode="bm25"), "bm25_rerank": search.retrieve(corpus(spark, d), questions(spark, d), mode="bm25", reranked=True)}
-    rows = [evaluate.metric_rows(name, evaluate.metrics(evaluate.judge(benchmark, h))) for name, h in runs.items()]
-    return evaluate.deltas(rows[0].unionByName(rows[1]).unionByName(rows[2]), "naive")
+    rows = written(corpus(spark, d))
+    index = bm25.build(rows, "chunk_id", "text")
+    flat = rows.withColumn("section", text.guess_section(F.col("text")))
+    runs = {name: search.retrieve(c, questions(spark, d), index=index, mode="bm25", reranked=name == "bm25_rerank") for name, c in (("bm25", rows), ("naive", flat), ("bm25_rerank", rows))}
+    parts = [evaluate.metric_rows(name, evaluate.metrics(evaluate.judge(benchmark, h))) for name, h in runs.items()]
+    return evaluate.deltas(written(parts[0].unionByName(parts[1]).unionByName(parts[2])), "naive")
+
+
+_DELTAS = SQL["pipeline_delta"]
+
+
+@query(f"SELECT key, any_value(value) FILTER (run = 'naive') AS naive, any_value(value) FILTER (run = 'bm25') AS bm25, any_value(value) FILTER (run = 'bm25_rerank') AS bm25_rerank, round(any_value(value) FILTER (run = 'bm25_rerank') - any_value(value) FILTER (run = 'naive'), 6) AS gain FROM ({_DELTAS}) GROUP BY key")
+def pipeline_table(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.comparison(pipeline_delta(spark, d), ["naive", "bm25", "bm25_rerank"])
+
+
+@query(f"SELECT rpad(key, 28, ' ') || lpad(printf('%.4f', n), 14, ' ') || lpad(printf('%.4f', r), 14, ' ') || lpad(printf('%.4f', round(r - n, 6)), 14, ' ') AS line FROM (SELECT key, any_value(value) FILTER (run = 'naive') AS n, any_value(value) FILTER (run = 'bm25_rerank') AS r FROM ({_DELTAS}) GROUP BY key)")
+def pipeline_report(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.printed(evaluate.comparison(pipeline_delta(spark, d), ["naive", "bm25_rerank"]))
 
 
 @query()
@@ -514,13 +559,26 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT count(DISTINCT chunk_id) AS points, count(DISTINCT chunk_id) AS keys FROM chunks")
+@query("SELECT chunk_id, length(text)::INT AS chars, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     at = _folder(spark, "stream")
     into = sinks.Table(spark, f"{at}/table", "chunk_id")
     rows = table(spark, d, "chunks")
     ingest.upsert_stream(ingest.file_stream(spark, f"{d}/chunks.parquet", rows.schema), into, f"{at}/checkpoint", ["ingested_at"]).awaitTermination()
-    return into.info()
+    return into.read().select("chunk_id", F.length("text").alias("chars"), "ingested_at")
+
+
+@query("""WITH o AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE AS new FROM events), s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+  SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "sessions")
+    stream = ingest.sessions(ingest.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema), "ts", "user_id")
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/out")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("start", "end", "user_id", "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

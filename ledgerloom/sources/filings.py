@@ -85,22 +85,34 @@ def benchmark_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("questions").alias("q")).select("q.*")
 
 
-def matrix_file(spark: SparkSession, path: str, ids: list[str], partitions: int = 8) -> DataFrame:
-    """(chunk_id, vector) of a NumPy matrix on a path that all machines see; as many rows as ids, else ValueError. Read in blocks, never whole on the driver."""
+def matrix_file(spark: SparkSession, path: str, ids: DataFrame, block: int = 4096) -> DataFrame:
+    """(chunk_id, vector) of a NumPy matrix on a path that all machines see. `ids` (pos from 0, chunk_id) says what each row stands for.
+
+    ValueError if the matrix and `ids` have not the same number of rows; positions must be 0 to rows - 1, else rows are missing. The file
+    is read in blocks where its rows are needed, never whole and never on the driver.
+    """
     import numpy as np
 
-    shape = np.load(path, mmap_mode="r").shape
-    if shape[0] != len(ids):
-        raise ValueError(f"{shape[0]} vectors, {len(ids)} ids")
-    step = max(1, -(-shape[0] // partitions))
-    blocks = spark.createDataFrame([(a, ids[a : a + step]) for a in range(0, shape[0], step)] or [(0, [])], "at bigint, ids array<string>").repartition(partitions)
+    rows, known = np.load(path, mmap_mode="r").shape[0], ids.count()
+    if rows != known:
+        raise ValueError(f"{rows} vectors, {known} ids")
 
     def read(batches):
         m = np.load(path, mmap_mode="r")
         for b in batches:
-            for at, own in zip(b["at"], b["ids"], strict=True):
+            for at in b["at"]:
                 import pandas as pd
 
-                yield pd.DataFrame({"chunk_id": list(own), "vector": [row.astype("float32") for row in m[at : at + len(own)]]})
+                part = np.asarray(m[at : at + block], np.float32)
+                yield pd.DataFrame({"pos": np.arange(at, at + len(part)), "vector": pd.Series(list(part), dtype=object)})
+
+    starts = spark.range(0, max(1, rows), block).select(F.col("id").alias("at"))
+    return starts.mapInPandas(read, "pos bigint, vector array<float>").join(ids.select("pos", "chunk_id"), "pos").select("chunk_id", "vector")
+
 
-    return blocks.mapInPandas(read, "chunk_id string, vector array<float>")
+def result_file(spark: SparkSession, path: str) -> DataFrame:
+    """(json) of a result file, for `evaluate.replayed`. FileNotFoundError that says how such a file is made if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"{path}: write it with sinks.write_json_lines(evaluate.report(...), ...) first")
+    return spark.read.text(path, wholetext=True).toDF("json")

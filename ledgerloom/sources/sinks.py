@@ -18,6 +18,41 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_filings(filings: DataFrame, folder: str) -> None:
+    """Parsed filings as JSON, one folder for each ticker and year (ticker=.../fiscal_year=...), overwritten."""
+    filings.repartition("ticker", "fiscal_year").write.mode("overwrite").partitionBy("ticker", "fiscal_year").json(folder)
+
+
+def write_matrix(vectors: DataFrame, folder: str, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
+    """Vectors as NumPy files `part-<n>.npy`, one for each partition, in a folder that all machines see. Returns (file, pos, key) of all rows.
+
+    Each file is a float32 matrix in the order of pos; the ids go beside the files as a table, never by position alone.
+    """
+    import os
+
+    import numpy as np
+    import pandas as pd
+    from pyspark import TaskContext
+
+    os.makedirs(folder, exist_ok=True)
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches):
+        parts = list(batches)
+        if not sum(map(len, parts)):
+            return
+        rows = pd.concat(parts)
+        name = f"part-{TaskContext.get().partitionId():05d}.npy"
+        with open(f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+            np.save(f, np.stack(rows["v"].to_numpy()).astype(np.float32))
+        os.replace(f.name, f"{folder}/{name}")  # an attempt that is run again replaces the file whole
+        yield pd.DataFrame({"file": name, "pos": np.arange(len(rows)), "key": rows["key"].to_numpy()})
+
+    out = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null").mapInPandas(run, f"file string, pos bigint, key {kind}").withColumnRenamed("key", key)
+    out.write.mode("overwrite").parquet(f"{folder}/ids")
+    return vectors.sparkSession.read.parquet(f"{folder}/ids")
+
+
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key, the last by `order`; rows that tie fall by their content, so the result is stable. Keys that are null go."""
     content = F.xxhash64(*[F.col(c) for c in df.columns])

@@ -63,7 +63,7 @@ def test_registered_queries_take_every_year(spark, tmp_path):
     rows = [(f"c{y}", f"Total sales was ${k + 1} million.", "AB", y, "item 7", k) for k, y in enumerate([2019, 2021, 2024, None])]
     spark.createDataFrame(rows, "chunk_id string, text string, ticker string, fiscal_year int, section string, chunk_index int").selectExpr("*", "timestamp'2024-01-01' AS ingested_at", "timestamp'2024-01-01' AS parsed_at").write.parquet(f"{d}/chunks.parquet")
     assert {r["qa_id"] for r in queries.leak_filter(spark, d).collect()} == {0, 1, 2, 3}
-    counts = queries.manifest(spark, d).first()["counts"]
+    counts = queries.manifest(spark, d).first()
     assert (counts["raw"], counts["after_filter"], counts["kept"]) == (4, 4, 4)
     assert {r["fiscal_year"] for r in queries.synthetic_qa(spark, d).collect()} == {2019, 2021, 2024, None}
     assert {r["fiscal_year"] for r in dataset.synthesize(queries.corpus(spark, d), years=[2021]).collect()} == {2021}

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,12 +49,55 @@ def test_bm25_filter_keeps_statistics(spark, corpus):
     assert {r["id"] for r in some} == {"d", "e"} and all(abs(all_hits[r["id"]] - r["score"]) < 1e-12 for r in some)
 
 
+def test_pruned_search_equals_scoring_every_pair(spark, tmp_path):
+    """Frequent and rare terms, negative idfs, repeated query terms, ties and filters; a stored index gives the same."""
+    r = random.Random(2)
+    terms = [f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(20_000)]
+    docs = [(f"d{k:04d}", " ".join(terms[k * 9 : k * 9 + r.randint(0, 9)])) for k in range(2000)]
+    asked = [(k, " ".join(f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(r.randint(1, 8)))) for k in range(25)] + [(90, "unknown"), (91, "")]
+    c, q = spark.createDataFrame(docs, "chunk_id string, text string"), spark.createDataFrame(asked, "qid int, query string")
+    split = {i: t.split() for i, t in docs}
+    n, avgdl = len(docs), sum(map(len, split.values())) / len(docs)
+    df = Counter(t for ws in split.values() for t in set(ws))
+    raw = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {t: 0.25 * mean if x < 0 else x for t, x in raw.items()}
+
+    def want(query, k, ids):
+        score = {i: sum(idf.get(t, 0) * split[i].count(t) * 2.5 / (split[i].count(t) + 1.5 * (0.25 + 0.75 * len(split[i]) / avgdl)) for t in query.split()) for i in ids}
+        return sorted(score, key=lambda i: (-round(score[i], 9), i))[:k]
+
+    index = bm25.build(c, "chunk_id", "text")
+    index.save(str(tmp_path / "index"))
+    for own, k in ((index, 3), (bm25.load(spark, str(tmp_path / "index")), 20)):
+        got = {}
+        for row in bm25.search(own, q, k).orderBy("qid", "rank").collect():
+            got.setdefault(row["qid"], []).append(row["id"])
+        assert got == {i: want(t, k, split) for i, t in asked if t}
+    some = [i for i, _ in docs[::3]]
+    got = {}
+    for row in bm25.search(index, q, 5, spark.createDataFrame([(i,) for i in some], "id string")).orderBy("qid", "rank").collect():
+        got.setdefault(row["qid"], []).append(row["id"])
+    assert got == {i: want(t, 5, some) for i, t in asked if t}
+
+
+def test_hits_without_a_chunk_are_unknown(spark):
+    c = spark.createDataFrame([("a", "t", "AB", 2023, "item_7", 1)], "chunk_id string, text string, ticker string, fiscal_year int, section string, token_count_est int")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("gone", [0.9, 0.1])], "chunk_id string, vector array<float>")
+    q = spark.createDataFrame([(1, "x", [1.0, 0.0])], "qid int, query string, vector array<float>")
+    rows = search.retrieve(c, q, v).orderBy("rank").collect()
+    assert [(r["id"], r["ticker"], r["section"], r["text"]) for r in rows] == [("a", "AB", "item_7", "t"), ("gone", "UNKNOWN", "UNKNOWN", "")]
+
+
 def test_dense(spark):
     x = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0])], "id int, vector array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "qid int, vector array<float>")
     assert [r["id"] for r in dense.search(x, q, 5).orderBy("rank").collect()] == [1, 2]
-    with pytest.raises(ValueError):
-        dense.search(x, q.union(q), 5, most_queries=1)
+    more = spark.createDataFrame([(k, [1.0, k / 7]) for k in range(9)] + [(20, None), (21, [0.0, 0.0]), (22, [1.0, None]), (23, [3.0])], "qid int, vector array<float>")
+    whole = sorted(map(tuple, dense.search(x, more, 2).collect()))
+    assert whole == sorted(map(tuple, dense.search(x, more, 2, block=2).collect())) and {r[0] for r in whole} == {*range(9), 23}
+    ties = spark.createDataFrame([(k, [2.0, 2.0]) for k in range(50)], "id int, vector array<float>").repartition(5)
+    assert [r["id"] for r in dense.search(ties, q, 3).orderBy("rank").collect()] == [0, 1, 2]
     c = spark.createDataFrame([("a",)], "chunk_id string")
     v = spark.createDataFrame([("b", [1.0, 0.0])], "chunk_id string, vector array<float>")
     assert dense.verify(v, c).first()["without_chunk"] == 1
@@ -86,7 +131,7 @@ def test_extractive_answer(spark):
     q = spark.createDataFrame([(1, "What was the revenue in 2023?"), (2, "zzz qqq"), (3, "zzz qqq")], "qid int, query string")
     got = {r["qid"]: r["answer"] for r in answer.extract_answers(q, hits).collect()}
     assert got[1] == "Revenue of the unit was 7 million dollars. [SOURCE 2]" and got[2] == REFUSAL
-    assert got[3] == "A first line of more than thirty characters [SOURCE 1]"
+    assert got[3] == "A first line of more than thirty characters. [SOURCE 1]"
     rec = {r["qid"]: r for r in answer.answer_records(answer.extract_answers(q, hits), hits).collect()}
     assert rec[1]["has_citation"] and rec[2]["is_refusal"] and len(rec[1]["sources"]) == 2
 

@@ -3,6 +3,8 @@ import json
 import numpy as np
 import pytest
 
+from ledgerloom.operators import evaluate
+from ledgerloom.plans import persist
 from ledgerloom.sources import filings, sinks
 
 
@@ -35,9 +37,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"ticker": "AB", "sections": {"item_1": "x"}}))
     assert filings.parsed_filings(spark, str(tmp_path / "p.json")).first()["sections"] == {"item_1": "x"}
     np.save(tmp_path / "m.npy", np.arange(6, dtype="float32").reshape(3, 2))
-    assert {r["chunk_id"]: list(r["vector"]) for r in filings.matrix_file(spark, str(tmp_path / "m.npy"), ["a", "b", "c"], 2).collect()}["c"] == [4.0, 5.0]
+    assert {r["chunk_id"]: list(r["vector"]) for r in filings.matrix_file(spark, str(tmp_path / "m.npy"), spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos bigint, chunk_id string"), 2).collect()}["c"] == [4.0, 5.0]
     with pytest.raises(ValueError):
-        filings.matrix_file(spark, str(tmp_path / "m.npy"), ["a"])
+        filings.matrix_file(spark, str(tmp_path / "m.npy"), spark.createDataFrame([(0, "a")], "pos bigint, chunk_id string"))
 
 
 def test_sinks(spark, tmp_path):
@@ -57,3 +59,26 @@ def test_sinks(spark, tmp_path):
     sinks.write_json_lines(df, str(tmp_path / "j"))
     sinks.write_table(df, str(tmp_path / "p"), ["k"])
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.parquet(str(tmp_path / "p")).where("k = 1").count() + 1
+
+
+def test_matrix_and_filing_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(f"c{k}", [float(k), 1.0]) for k in range(9)] + [("n", None)], "chunk_id string, vector array<float>").repartition(3)
+    ids = sinks.write_matrix(df, str(tmp_path / "m"))
+    back = {}
+    for r in ids.collect():
+        back[r["chunk_id"]] = np.load(tmp_path / "m" / r["file"])[r["pos"]].tolist()
+    assert back == {f"c{k}": [float(k), 1.0] for k in range(9)}
+    f = spark.createDataFrame([("AB", 2023, "f.htm", {"item_1": "x"}, {"item_1": 1}), ("AB", 2022, "g.htm", {}, {})], filings.PARSED)
+    sinks.write_filings(f, str(tmp_path / "f"))
+    read = spark.read.schema(filings.PARSED).json(str(tmp_path / "f"))
+    assert sorted((r["ticker"], r["fiscal_year"], r["source_file"]) for r in read.collect()) == [("AB", 2022, "g.htm"), ("AB", 2023, "f.htm")]
+
+
+def test_result_file_and_clear(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"summary": {"adapted": {"mrr": 0.5}}}')
+    rows = {r["key"]: r["value"] for r in evaluate.replayed(filings.result_file(spark, str(tmp_path / "r.json")), "x", "adapted").collect()}
+    assert rows["mrr"] == 0.5 and rows["hit_rate_at_1"] == 0.0
+    with pytest.raises(FileNotFoundError):
+        filings.result_file(spark, str(tmp_path / "none.json"))
+    persist.written(spark.range(3))
+    assert persist.clear(spark) >= 1 and persist.clear(spark) == 0
