@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.prompts import SYSTEM, render_chat, training_context, training_messages
 from ledgerloom.functions.text import blank, extractive_question, filing_year, normalize_text, numeric_fact, record_section, sentences, strip
+from ledgerloom.plans.persist import written
 
 
 def normalize_records(records: DataFrame, tickers: list[str] | None = None, years: list[int] | None = None, source: str = "primary", section: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -49,7 +50,8 @@ def build_examples(records: DataFrame, order: list[str], system: str = SYSTEM) -
     The numbers are consecutive over the whole table: ranks inside range partitions plus the partitions' offsets, so no task sorts all rows.
     """
     spread = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    own = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    # written once, so that sizes and numbers see the same partitions whatever the plan
+    own = written(spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
     sizes = own.groupBy("__p").agg(F.max("__n").alias("__m"))  # as many rows as partitions
     starts = sizes.select("__p", (F.sum("__m").over(Window.orderBy("__p")) - F.col("__m")).alias("__s"))
     at = F.col("__n") + F.col("__s") - 1

@@ -326,10 +326,10 @@ def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_hits(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    return written(search.retrieve(corpus(spark, d), questions(spark, d), k=k, mode="bm25").withColumn("score", F.round("score", 6)))
+    return written(search.retrieve(corpus(spark, d), questions(spark, d), k=k, mode="bm25").withColumn("score", F.round("score", 9)))
 
 
-_HITS = f"WITH {_CORPUS}, {_QUESTIONS}, {_ALL}, {_BM25}, hits AS (SELECT qid, r.id, round(score, 6) AS score, rank, ticker, fiscal_year, section, text, token_count_est AS token_count FROM ranked r JOIN corpus ON chunk_id = r.id WHERE rank <= 5)"
+_HITS = f"WITH {_CORPUS}, {_QUESTIONS}, {_ALL}, {_BM25}, hits AS (SELECT qid, r.id, round(score, 9) AS score, rank, ticker, fiscal_year, section, text, token_count_est AS token_count FROM ranked r JOIN corpus ON chunk_id = r.id WHERE rank <= 5)"
 
 
 @query(f"""{_HITS}, p AS (SELECT * REPLACE (round(score, 4) AS score), sum(token_count) OVER (PARTITION BY qid ORDER BY rank) AS s, count(*) OVER (PARTITION BY qid) AS passages FROM hits)
@@ -338,13 +338,16 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return fusion.pack_context(_bm25_hits(spark, d).withColumn("score", F.round("score", 4)), 900)
 
 
-@query(f"""{_HITS}, q AS (SELECT qid, query, CASE WHEN contains(query, '2024') THEN 2024 WHEN contains(query, '2023') THEN 2023 WHEN contains(query, '2022') THEN 2022 END AS year, list_filter(regexp_extract_all(lower(query), '\\b\\w{{3,}}\\b'), lambda w: w NOT IN {text.QUERY_STOPWORDS}) AS words FROM qs),
+_EXTRACTED = f"""q AS (SELECT qid, query, CASE WHEN contains(query, '2024') THEN 2024 WHEN contains(query, '2023') THEN 2023 WHEN contains(query, '2022') THEN 2022 END AS year, list_filter(regexp_extract_all(lower(query), '\\b\\w{{3,}}\\b'), lambda w: w NOT IN {text.QUERY_STOPWORDS}) AS words FROM qs),
   r AS (SELECT q.*, rank, fiscal_year, score, text FROM q JOIN hits USING (qid)),
   c AS (SELECT * EXCLUDE (s), {_strip("s")} AS s FROM (SELECT *, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM (SELECT *, string_split(regexp_replace(text, '([.!?\n])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM r WHERE year IS NULL OR fiscal_year = year))),
   m AS (SELECT *, len(list_filter(words, lambda w: contains(lower(s), w))) AS m FROM c WHERE length(s) > 20),
   b AS (SELECT qid, rank, {_strip(f"regexp_replace(s, '{_WS}+', ' ', 'g')")} AS s FROM m WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(m * 2.0 + CASE WHEN score <> 0 THEN score ELSE 0.5 END, 9) DESC, rank, pos) = 1),
   t AS (SELECT qid, {_strip(f"regexp_replace(CASE WHEN contains(b, chr(10)) THEN string_split(b, chr(10))[1] ELSE left(b, 200) END, '{_WS}+', ' ', 'g')")} AS h FROM (SELECT qid, {_strip("text")} AS b FROM r WHERE rank = 1 AND score > 0)),
-  a AS (SELECT q.qid, coalesce((SELECT regexp_replace(s, '[,;]+$', '') || CASE WHEN regexp_replace(s, '[,;]+$', '') LIKE '%.' THEN '' ELSE '.' END || ' [SOURCE ' || rank || ']' FROM b WHERE b.qid = q.qid), (SELECT CASE WHEN length(h) > 30 THEN h || CASE WHEN h LIKE '%.' THEN '' ELSE '.' END || ' [SOURCE 1]' END FROM t WHERE t.qid = q.qid), '{prompts.REFUSAL}') AS answer FROM q)
+  a AS (SELECT q.qid, coalesce((SELECT regexp_replace(s, '[,;]+$', '') || CASE WHEN regexp_replace(s, '[,;]+$', '') LIKE '%.' THEN '' ELSE '.' END || ' [SOURCE ' || rank || ']' FROM b WHERE b.qid = q.qid), (SELECT CASE WHEN length(h) > 30 THEN h || CASE WHEN h LIKE '%.' THEN '' ELSE '.' END || ' [SOURCE 1]' END FROM t WHERE t.qid = q.qid), '{prompts.REFUSAL}') AS answer FROM q)"""
+
+
+@query(f"""{_HITS}, {_EXTRACTED}
   SELECT qid, answer, array_to_string(regexp_extract_all(answer, '\\[SOURCE\\s+\\d+\\]'), ',') AS citations, regexp_matches(answer, '\\[SOURCE\\s+\\d+\\]') AS has_citation, answer = '{prompts.REFUSAL}' AS is_refusal, (SELECT count(*) FROM hits WHERE hits.qid = a.qid)::INT AS passages FROM a""")
 def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
     hits = _bm25_hits(spark, d)
@@ -377,9 +380,15 @@ def embedded_search(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(embed.embed(corpus(spark, d), encoder), embed.embed_queries(questions(spark, d), encoder), 5, "chunk_id").select("qid", "id", F.round("score", 5).alias("score"), "rank")
 
 
-@query()
+@query(f"""WITH {_CORPUS}, {_QUESTIONS}, {_ALL}, {_BM25},
+  wide AS (SELECT qid, r.id, rank AS old, ticker, fiscal_year, section, text, token_count_est AS token_count, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM ranked r JOIN corpus ON chunk_id = r.id JOIN qs USING (qid) WHERE rank <= 25),
+  hits AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, old) AS rank, ticker, fiscal_year, section, text, token_count FROM (SELECT *, coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0.0) AS score FROM wide) QUALIFY rank <= 5),
+  {_EXTRACTED},
+  p AS (SELECT *, sum(token_count) OVER (PARTITION BY qid ORDER BY rank) AS s, count(*) OVER (PARTITION BY qid) AS passages FROM hits),
+  x AS (SELECT qid, '=== RETRIEVED 10-K CONTEXT (' || any_value(passages) || ' passages) ===' || chr(10) || chr(10) || string_agg('[SOURCE ' || rank || ' | ' || coalesce(ticker, 'null') || ' FY' || coalesce(fiscal_year::VARCHAR, 'null') || ' ' || section || ' | Score: ' || printf('%.4f', score) || ']' || chr(10) || {_strip("text")} || chr(10), chr(10) ORDER BY rank) || repeat('=', 57) AS context FROM p WHERE s <= 1800 OR rank = 1 GROUP BY qid)
+  SELECT qid, answer, (length({_HEADER} || coalesce(context, '{prompts.EMPTY_CONTEXT}') || chr(10) || chr(10) || 'Question: ' || {_strip("query")} || chr(10) || 'Answer:' || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) // 4)::INT AS prompt_tokens_est, (SELECT count(*) FROM hits WHERE hits.qid = a.qid)::INT AS passages FROM a JOIN qs USING (qid) LEFT JOIN x USING (qid)""")
 def service_answers(spark: SparkSession, d: str) -> DataFrame:
-    return service.respond(corpus(spark, d), questions(spark, d))
+    return service.respond(corpus(spark, d), questions(spark, d)).select("qid", "answer", "prompt_tokens_est", F.size("sources").alias("passages"))
 
 
 # --- evaluation
