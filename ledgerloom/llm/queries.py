@@ -133,6 +133,12 @@ def p9_draw(spark: SparkSession, d: str) -> DataFrame:
     return mixture.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+@query
+def p9_emitted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return mixture.emit(docs, mixture.draw(docs, table(spark, d, "mix_targets"))).select("doc_id", "copy_no", "source", "text")
+
+
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")

@@ -1,4 +1,8 @@
+from collections import Counter
+from pathlib import Path
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import leaks
@@ -59,3 +63,19 @@ def test_longest_matches_against_brute_force():
         assert ((d, 0) in found) == bool(runs)
         if runs:
             assert found[(d, 0)].length == max(runs.values()) and found[(d, 0)].positions == {x for (i, _), n in runs.items() for x in range(i, i + n)}
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_recall_against_all_pairs(spark):
+    """Every pair of a record and an item that the alignment accepts is found, though only those with verbatim matches are aligned."""
+    records, tests = spark.read.parquet(f"{DATA}/financial_qa_10k.parquet"), spark.read.parquet(f"{DATA}/benchmark_questions.parquet")
+    rows = [(r["item_id"], r["question"], r["passage"]) for r in tests.collect()]
+    df = Counter(w for _, q, p in rows for w in {*leaks.words(q), *leaks.words(p)})
+    items = leaks.Items(rows, frozenset(w for w, n in df.items() if n > leaks.common_share(len(rows))))
+    want = {(r["qa_id"], items.ids[k]) for r in records.collect() for k in range(len(rows)) if leaks.leaked(leaks.words(r["question"]), leaks.words(r["context"]), items, k)}
+    got = {(r["qa_id"], r["item_id"]) for r in leaks.find_leaks(records, tests).collect()}
+    assert got == want and got
+    assert {(r["qa_id"], r["item_id"]) for r in leaks.find_leaks(records, tests, block=20).collect()} == got

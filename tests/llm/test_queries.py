@@ -2,6 +2,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.queries import QUERIES
 
@@ -18,6 +19,34 @@ def test_columns_and_distinct_rows(spark, name):
     assert len(rows) == len(set(rows)) and rows
 
 
+@pytest.fixture(scope="module", params=["empty", "blank", "null"])
+def bare(request, spark, tmp_path_factory):
+    """The tables without rows, or with blank or null texts only."""
+    d = tmp_path_factory.mktemp(request.param)
+    fill = {"blank": F.lit(" \n"), "null": F.lit(None).cast("string")}.get(request.param)
+    for path in DATA.glob("*.parquet"):
+        df = spark.read.parquet(str(path))
+        if request.param == "empty":
+            df = df.where(F.lit(False))
+        elif path.stem not in ("companies", "measures", "units", "mix_targets"):
+            df = df.withColumns({c: fill for c in ("text", "question", "answer", "context", "passage") if c in df.columns})
+        df.coalesce(1).write.parquet(str(d / path.name))
+    return request.param, str(d)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_pieces", "p4_found", "p6_split", "p7_found", "p8_ids", "p9_shares", "p10_scores"])
+def test_empty_blank_and_null_tables(spark, bare, name):
+    kind, d = bare
+    rows = QUERIES[name](spark, d).collect()
+    if name in ("p1_found", "p2_found", "p3_pieces"):
+        assert rows == []
+    if name == "p8_ids" and kind == "null":
+        assert rows and all(r["ids"] == [] for r in rows)
+    if name == "p7_found" and kind != "empty":
+        assert rows and {r["defect"] for r in rows} == {"empty_answer"}
+
+
 def test_nothing_else_imports_this_package():
     root = Path(__file__).resolve().parents[2]
     for p in [*root.glob("ledgerloom/**/*.py")]:
