@@ -225,10 +225,11 @@ def leaked(question: list[str], context: list[str], items: Items, k: int, places
     near, far = set(question), set(context)
     share = lambda ws, held: sum(w in held for w in ws) / max(1, len(ws))
     of_asked, of_passage = [w for w in asked if w in special], [[w for w in s if w in special] for s in items.sentences[k]]
-    # light edits leave at least four of ten distinctive words of a question, sentence or run as they are
+    # light edits leave at least half of the words of a question, sentence or run as they are, and four of ten distinctive ones
+    likely = lambda ws, own, held: share(own, held) >= 0.4 and share(ws, held) >= 0.5
     if max([share(of_asked, near), share(of_asked, far), *(share(s, far) for s in of_passage)]) < 0.4 and share([w for s in of_passage for w in s], far) < 0.2:
         return None
-    if asked and share(of_asked, near) >= 0.4:
+    if asked and likely(asked, of_asked, near):
         flags = align(asked, question)
         if _agrees(asked, flags, special, 0.7, 0.75) and len(question) <= 1.6 * len(asked) + 4:
             return "question"
@@ -240,10 +241,10 @@ def leaked(question: list[str], context: list[str], items: Items, k: int, places
     around = _windows(context, places, max(len(asked), len(passage)) + len(passage) // 2)
     for part in around:
         held = set(part)
-        if asked and share(of_asked, held) >= 0.4 and _agrees(asked, align(asked, part), special, 0.8, 0.75) and _close(asked, part):
+        if asked and likely(asked, of_asked, held) and _agrees(asked, align(asked, part), special, 0.8, 0.75) and _close(asked, part):
             return "question in context"
         for s, own in zip(items.sentences[k], of_passage, strict=True):
-            if len(s) >= 5 and share(own, held) >= 0.4 and _agrees(s, align(s, part), special, 0.75, 0.75) and _close(s, part):
+            if len(s) >= 5 and likely(s, own, held) and _agrees(s, align(s, part), special, 0.75, 0.75) and _close(s, part):
                 return "sentence"
         if not _run_likely(passage, special, held, run):
             continue
@@ -255,14 +256,14 @@ def leaked(question: list[str], context: list[str], items: Items, k: int, places
 
 
 def _run_likely(passage: list[str], special: set[str], held: set[str], run: int) -> bool:
-    """False only if every run of words has less than half of its words, or four of ten distinctive ones, as they are in the context: more than light edits."""
+    """False only if every run of words has less than six of ten of its words, or four of ten distinctive ones, as they are in the context: more than light edits, as 17 of 20 must agree."""
     upto, own, all_own = [0], [0], [0]
     for w in passage:
         known, marked = w in held, w in special
         upto.append(upto[-1] + known)
         own.append(own[-1] + (known and marked))
         all_own.append(all_own[-1] + marked)
-    return any(upto[i + run] - upto[i] >= run // 2 and own[i + run] - own[i] >= max(1, 0.4 * (all_own[i + run] - all_own[i])) for i in range(len(passage) - run + 1))
+    return any(upto[i + run] - upto[i] >= 0.6 * run and own[i + run] - own[i] >= max(1, 0.4 * (all_own[i + run] - all_own[i])) for i in range(len(passage) - run + 1))
 
 
 def _close(ws: list[str], context: list[str]) -> bool:
