@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,12 +114,21 @@ def estimate(q: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ip, step[:, 0] / 2
 
 
-def _search(qid: np.ndarray, q: np.ndarray, did: np.ndarray, x: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[list, list]:
-    """For each query, ids and cosines of its k best among x, itself aside: bounds from codes, then exact scores."""
+def _flat(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A column of float32 bytes as a matrix, without copying."""
+    a = column.combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    offsets = np.frombuffer(a.buffers()[1], np.int64 if pa.types.is_large_binary(a.type) else np.int32)
+    start = int(offsets[a.offset])
+    return np.frombuffer(a.buffers()[2], np.uint8)[start : start + len(a) * dim * 4].view(np.float32).reshape(-1, dim)
+
+
+def _search(qid: np.ndarray, q: np.ndarray, did: np.ndarray, x: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many, ids, cosines): for each query its k best among x, itself aside, one query after the other: bounds from codes, then exact scores."""
     dim = x.shape[1]
     words, length, agree = codes(x, centre, turn)
     spread = length * np.sqrt(np.maximum(1 - agree**2, 0)) / agree * EPSILON / np.sqrt(max(dim - 1, 1))
-    ids, cos = [], []
+    sizes, ids, cos = [], [], []
     for at in range(0, len(q), 256):
         part, own = q[at : at + 256], qid[at : at + 256]
         turned = part @ turn
@@ -147,9 +157,11 @@ def _search(qid: np.ndarray, q: np.ndarray, did: np.ndarray, x: np.ndarray, cent
         order = np.lexsort((did[top], -exact), axis=1)[:, :k]
         near, value = np.take_along_axis(did[top], order, 1), np.take_along_axis(exact, order, 1)
         size = np.minimum(valid.sum(1), k)
-        ids += [n[:m] for n, m in zip(near, size, strict=True)]
-        cos += [v[:m] for v, m in zip(value, size, strict=True)]
-    return ids, cos
+        held = np.arange(near.shape[1])[None, :] < size[:, None]
+        sizes.append(size)
+        ids.append(near[held])
+        cos.append(value[held])
+    return np.concatenate(sizes), np.concatenate(ids), np.concatenate(cos)
 
 
 def _parts(cell: Column, counted: DataFrame, limit: int, name: str) -> DataFrame:
@@ -221,16 +233,19 @@ def _search_all(reps: DataFrame, dim: int, k: int, probes: int, per_cell: int, s
     data = data.join(hot_data, "cell", "left").join(hot_asks, "cell", "left").select("id", "x", "cell", F.pmod(F.xxhash64("id"), db).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"))
     asks = asks.join(hot_data, "cell", "left").join(hot_asks, "cell", "left").select("id", "x", "cell", F.explode(F.sequence(F.lit(0), db - 1)).alias("d"), F.pmod(F.xxhash64("id"), qb).cast("int").alias("q"))
 
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    form = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.int64())), ("cos", pa.list_(pa.float64()))])
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object), "cos": pd.Series([], dtype=object)})
+            return form.empty_table()
         _, t = shared.value
-        x = _matrix(right["y"], dim)
-        near, cos = _search(left["id"].to_numpy(), _matrix(left["x"], dim), right["did"].to_numpy(), x, x.mean(0), t, k)
-        return pd.DataFrame({"id": left["id"], "near": pd.Series(near, dtype=object), "cos": pd.Series(cos, dtype=object)})
+        x = _flat(right["y"], dim)
+        sizes, near, cos = _search(left["id"].to_numpy(), _flat(left["x"], dim), right["did"].to_numpy(), x, x.mean(0), t, k)
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.table([left["id"].combine_chunks(), pa.ListArray.from_arrays(ends, pa.array(near, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(cos, pa.float64()))], schema=form)
 
     data = data.toDF("did", "y", "dcell", "dd", "dq")
-    found = asks.groupBy("cell", "d", "q").cogroup(data.groupBy("dcell", "dd", "dq")).applyInPandas(scan, "id bigint, near array<bigint>, cos array<double>")
+    found = asks.groupBy("cell", "d", "q").cogroup(data.groupBy("dcell", "dd", "dq")).applyInArrow(scan, "id bigint, near array<bigint>, cos array<double>")
     best = found.where(F.size("near") > 0).groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("cos", "near"))).alias("all"))  # at most k a cell visited
     best = best.select("id", F.slice(F.array_sort(F.transform("all", lambda s: F.struct((-s["cos"]).alias("far"), s["near"].alias("near")))), 1, k).alias("top"))
     return best.select("id", F.col("top.near").alias("near"), F.transform("top", lambda s: -s["far"]).alias("cos"))
