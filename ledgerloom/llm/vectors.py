@@ -109,8 +109,9 @@ def estimate(q: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for w in range(words.shape[1]):
             total += np.bitwise_count(plane[:, w, None] & words[None, :, w]).astype(np.int32) << j
     ones = np.bitwise_count(words).sum(1, dtype=np.int32)
-    whole = low * dim + step * levels.sum(1, keepdims=True, dtype=np.int32)
-    ip = (2 * (low * ones[None, :] + step * total) - whole) / np.sqrt(dim)
+    low, step = low.astype(np.float32), step.astype(np.float32)
+    whole = low * dim + step * levels.sum(1, keepdims=True, dtype=np.int32).astype(np.float32)
+    ip = (2 * (low * ones[None, :].astype(np.float32) + step * total.astype(np.float32)) - whole) * np.float32(1 / np.sqrt(dim))
     return ip, step[:, 0] / 2
 
 
@@ -127,15 +128,16 @@ def _search(qid: np.ndarray, q: np.ndarray, did: np.ndarray, x: np.ndarray, cent
     """(how many, ids, cosines): for each query its k best among x, itself aside, one query after the other: bounds from codes, then exact scores."""
     dim = x.shape[1]
     words, length, agree = codes(x, centre, turn)
-    spread = length * np.sqrt(np.maximum(1 - agree**2, 0)) / agree * EPSILON / np.sqrt(max(dim - 1, 1))
+    spread = (length * np.sqrt(np.maximum(1 - agree**2, 0)) / agree * EPSILON / np.sqrt(max(dim - 1, 1))).astype(np.float32)
+    scale = (length / agree).astype(np.float32)
     sizes, ids, cos = [], [], []
     for at in range(0, len(q), 256):
         part, own = q[at : at + 256], qid[at : at + 256]
         turned = part @ turn
         ip, coarse = estimate(turned, words)
         base = part @ centre
-        guess = base[:, None] + (length / agree)[None, :] * ip
-        wide = spread[None, :] + (length / agree)[None, :] * coarse[:, None]
+        guess = base[:, None].astype(np.float32) + scale[None, :] * ip
+        wide = spread[None, :] + scale[None, :] * coarse[:, None]
         low = guess - wide
         same = own[:, None] == did[None, :]
         low[same] = -9
