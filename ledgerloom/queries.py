@@ -391,6 +391,20 @@ def service_answers(spark: SparkSession, d: str) -> DataFrame:
     return service.respond(corpus(spark, d), questions(spark, d)).select("qid", "answer", "prompt_tokens_est", F.size("sources").alias("passages"))
 
 
+@query(f"WITH {_CORPUS} SELECT chunk_id, 256 AS dims, coalesce(fiscal_year = 2023, false) AS known FROM corpus")
+def embedding_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all chunks, those of 2023 taken over from an earlier run, the rest encoded anew."""
+    encoder, rows = embed.ModelEmbedder(embed.hashing()), corpus(spark, d)
+    known = embed.embed(rows.where("fiscal_year = 2023"), encoder)
+    out = embed.refresh(rows, known, encoder).select("chunk_id", F.size("vector").alias("dims"))
+    return out.join(rows.select("chunk_id", F.coalesce(F.col("fiscal_year") == 2023, F.lit(False)).alias("known")), "chunk_id")
+
+
+@query("SELECT item_id AS qid, 'Without the filings no sourced answer to \"' || question || '\" can be given.' AS answer FROM benchmark_questions")
+def unsourced_answers(spark: SparkSession, d: str) -> DataFrame:
+    return service.answer_without_passages(questions(spark, d))
+
+
 # --- evaluation
 
 _JUDGED = f"""{_HITS}, items AS (SELECT item_id AS qid, source_company, answer_type, CASE source_section WHEN 'Item 1A' THEN ['item_1a'] WHEN 'Item 7' THEN ['item_7'] WHEN 'Item 8' THEN ['item_8'] ELSE ['item_7'] END AS secs FROM benchmark_questions),
@@ -534,6 +548,20 @@ def synthetic_qa(spark: SparkSession, d: str) -> DataFrame:
     return dataset.synthesize(corpus(spark, d))
 
 
+@query(f"SELECT * FROM ({SQL['synthetic_qa']}) ORDER BY chunk_id, pos LIMIT 50")
+def synthetic_first(spark: SparkSession, d: str) -> DataFrame:
+    """The cap of the operator: the first 50 pairs by chunk and place."""
+    return dataset.synthesize(corpus(spark, d), most=50)
+
+
+@query(f"""WITH {_RECORDS} SELECT 'primary' AS choice, count(*) AS n FROM records UNION ALL SELECT 'fallback', count(*) FROM ({SQL['synthetic_qa']})""")
+def chosen_records(spark: SparkSession, d: str) -> DataFrame:
+    """The primary records where there are any, else the synthetic ones."""
+    primary, synthetic = records(spark, d), dataset.synthesize(corpus(spark, d))
+    parts = [dataset.chosen(p, synthetic).agg(F.count("*").alias("n")).select(F.lit(name).alias("choice"), "n") for name, p in (("primary", primary), ("fallback", primary.where("fiscal_year > 3000")))]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"SELECT count(*) AS rows, count(*) FILTER ({_strip('coalesce(text, chr(32))')} = '') AS blank_rows, min(CASE WHEN {_strip('coalesce(text, chr(32))')} = '' THEN id END) AS first_blank, coalesce(max(length(text)), 0)::INT AS longest, count(*) FILTER ({_strip('coalesce(text, chr(32))')} = '') || ' blank texts, the first at ' || min(CASE WHEN {_strip('coalesce(text, chr(32))')} = '' THEN id END) AS error FROM train")
 def training_validation(spark: SparkSession, d: str) -> DataFrame:
     return dataset.validate(table(spark, d, "train"))
