@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import blank, mode_label, strip
 from ledgerloom.operators import bm25, dense, fusion
+from ledgerloom.plans.persist import written
 
 
 class Embedder(Protocol):
@@ -44,6 +46,14 @@ def narrowed(corpus: DataFrame, ticker: str | None = None, fiscal_year: int | No
     return corpus
 
 
+def picked(rows: DataFrame, ids: DataFrame, key: str = "chunk_id", block: int = 250_000) -> DataFrame:
+    """The rows whose key is among the ids (a stored table with one column), read where they lie: ids go out in blocks, each a bounded broadcast."""
+    ids = ids.toDF("__id").where("__id is not null").distinct()
+    blocks = max(1, -(-ids.count() // block))
+    parts = [rows.join(F.broadcast(ids.where(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == b)), F.col(key) == F.col("__id"), "left_semi") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def retrieve(
     corpus: DataFrame,
     queries: DataFrame,
@@ -58,12 +68,14 @@ def retrieve(
     candidate_pool: int = 25,
     rerank_pool: int = 25,
     score: Callable[[Column, Column], Column] = fusion.lexical_score,
+    lexical: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked passages for queries (qid, query, vector): qid, rank, id, score, ticker, fiscal_year, section, text, token_count, mode and each step's scores.
 
     `corpus` has unique chunk_id with ticker, fiscal_year, section, text, token_count_est; `vectors` chunk_id and vector. `mode` is dense, bm25
     or hybrid, chosen openly: nothing falls back in silence. Blank queries give no row. The list is cut to rerank_pool before and to k after
-    reranking, so a pool under k gives fewer than k.
+    reranking, so a pool under k gives fewer than k. `lexical` is a list that `bm25.search` gave for the same queries and filters, as long as
+    this call wants or longer; without it the search is made here. Hits are written once; of the corpus, only their rows are joined.
     """
     if mode not in ("dense", "bm25", "hybrid"):
         raise ValueError("mode is dense, bm25 or hybrid")
@@ -78,13 +90,15 @@ def retrieve(
         near = vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if ticker or fiscal_year or section else vectors
         d = dense.search(near, asked, pool, "chunk_id", "vector")
     if mode != "dense":
-        index = index or bm25.build(corpus, "chunk_id", "text")
-        s = bm25.search(index, asked, pool, allowed.select(F.col("chunk_id").alias("id")) if ticker or fiscal_year or section else None)
+        if lexical is None:
+            lexical = bm25.search(index or bm25.build(corpus, "chunk_id", "text"), asked, pool, allowed.select(F.col("chunk_id").alias("id")) if ticker or fiscal_year or section else None)
+        s = lexical.where(F.col("rank") <= pool)
     if mode == "hybrid":
         hits = fusion.reciprocal_rank(d, s, wanted).withColumn("score", F.col("rrf_score"))
     else:
         hits = d if d is not None else s
-    about = corpus.select(F.col("chunk_id").alias("id"), "ticker", "fiscal_year", "section", "text", F.col("token_count_est").alias("token_count"), F.lit(True).alias("__known"))
+    hits = written(hits)
+    about = picked(corpus, hits.select("id")).select(F.col("chunk_id").alias("id"), "ticker", "fiscal_year", "section", "text", F.col("token_count_est").alias("token_count"), F.lit(True).alias("__known"))
     rows = hits.join(about, "id", "left")
     # a vector without a chunk keeps its place, named as unknown
     rows = rows.select(*hits.columns, *(F.when(F.col("__known"), F.col(c)).otherwise(UNKNOWN).alias(c) for c in ("ticker", "section")), "fiscal_year", F.when(F.col("__known"), F.col("text")).otherwise("").alias("text"), "token_count")
