@@ -111,10 +111,11 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return usable_vectors(spark, d).where("chunk_id is not null").groupBy("chunk_id").agg(F.min_by("vector", "vector_id").alias("vector"))
 
 
-def text_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Queries with text and vector: vectors whose id is divisible by 50, with the text of their chunk."""
-    v = usable_vectors(spark, d).where("vector_id % 50 = 0").select(F.col("vector_id").alias("qid"), "chunk_id", "vector")
-    return v.join(corpus(spark, d).select("chunk_id", F.col("text").alias("query")), "chunk_id").select("qid", "query", "vector")
+def text_queries(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Queries with text and vector: vectors whose id is divisible by 50, with the text of their chunk. `rows` is the corpus, where it is stored."""
+    v = written(usable_vectors(spark, d).where("vector_id % 50 = 0").select(F.col("vector_id").alias("qid"), "chunk_id", "vector"))
+    texts = search.picked((corpus(spark, d) if rows is None else rows).select("chunk_id", F.col("text").alias("query")), v.select("chunk_id"))
+    return written(v.join(texts, "chunk_id").select("qid", "query", "vector"))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +322,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
   rr AS (SELECT qid, id, old, coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0.0) AS rerank FROM scored2)
   SELECT qid, id, round(rerank, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rerank, 9) DESC, old) AS rank FROM rr QUALIFY rank <= 5""")
 def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.retrieve(corpus(spark, d), text_queries(spark, d), chunk_vectors(spark, d), mode="hybrid", reranked=True)
+    rows = written(corpus(spark, d))
+    hits = search.retrieve(rows, text_queries(spark, d, rows), chunk_vectors(spark, d), mode="hybrid", reranked=True)
     return hits.select("qid", "id", F.round("rerank_score", 6).alias("score"), "rank")
 
 

@@ -34,6 +34,12 @@ def test_no_pair_of_query_and_document_is_written(spark, wrote):
     assert [r[2] for r in found(index, q, 2) if r[0] == 49] == ["d000", "d001"] and sum(wrote) <= 500
 
 
+def count_corpus(monkeypatch):
+    calls, real = [], queries.corpus
+    monkeypatch.setattr(queries, "corpus", lambda *a: (calls.append(1), real(*a))[1])
+    return calls
+
+
 @pytest.mark.parametrize("name", ["pipeline_report"])
 def test_runs_of_a_comparison_share_one_search(spark, monkeypatch, name):
     """One search for all runs, and one pass over the corpus for the texts of its hits."""
@@ -42,6 +48,12 @@ def test_runs_of_a_comparison_share_one_search(spark, monkeypatch, name):
     assert queries.QUERIES[name](spark, DATA).count() in (4, 12) and len(searches) == 1
 
 
+@pytest.mark.parametrize("name", ["hybrid_rerank"])
+def test_hybrid_queries_work_out_the_corpus_once(spark, monkeypatch, name):
+    calls = count_corpus(monkeypatch)
+    assert queries.QUERIES[name](spark, DATA).count() and len(calls) == 1
+
+
 def test_blocks_of_queries_and_of_documents_change_nothing(spark, monkeypatch):
     """Terms inside and outside of the matrix, blocks of one query, negative weights, unknown terms, null keys and an empty query set."""
     c = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 6))) for i in range(200)] + [(900, None)], "chunk_id int, text string")
