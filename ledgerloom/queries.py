@@ -313,7 +313,8 @@ _HYBRID = """fused AS (SELECT qid, id, coalesce(1.0 / (60 + d.rank), 0) + coales
 
 @query(f"WITH {_CORPUS}, {_TEXT_QUERIES}, {_ALL}, {_BM25}, {_HYBRID} SELECT qid, fr.id, round(rrf, 9) AS score, dense_rank, sparse_rank, rank FROM fr JOIN corpus ON chunk_id = fr.id WHERE rank <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.retrieve(corpus(spark, d), text_queries(spark, d), chunk_vectors(spark, d), mode="hybrid")
+    rows = written(corpus(spark, d))
+    hits = search.retrieve(rows, text_queries(spark, d, rows), chunk_vectors(spark, d), mode="hybrid")
     return hits.select("qid", "id", F.round("rrf_score", 9).alias("score"), "dense_rank", "sparse_rank", "rank")
 
 

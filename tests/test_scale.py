@@ -48,7 +48,7 @@ def test_runs_of_a_comparison_share_one_search(spark, monkeypatch, name):
     assert queries.QUERIES[name](spark, DATA).count() in (4, 12) and len(searches) == 1
 
 
-@pytest.mark.parametrize("name", ["hybrid_rerank"])
+@pytest.mark.parametrize("name", ["hybrid_rerank", "hybrid_search"])
 def test_hybrid_queries_work_out_the_corpus_once(spark, monkeypatch, name):
     calls = count_corpus(monkeypatch)
     assert queries.QUERIES[name](spark, DATA).count() and len(calls) == 1
