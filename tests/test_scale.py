@@ -40,7 +40,7 @@ def count_corpus(monkeypatch):
     return calls
 
 
-@pytest.mark.parametrize("name", ["pipeline_report", "pipeline_table"])
+@pytest.mark.parametrize("name", ["pipeline_delta", "pipeline_table", "pipeline_report"])
 def test_runs_of_a_comparison_share_one_search(spark, monkeypatch, name):
     """One search for all runs, and one pass over the corpus for the texts of its hits."""
     searches, real = [], bm25.search
